@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import bpe, exact_dedup, mixing, secrets, token_counts
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op5_secrets": secrets.op5_secrets,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op9_bpe": bpe.op9_bpe,
+    "op10_token_counts": token_counts.op10_token_counts,
 }
 
 ORACLE_SQL = {
