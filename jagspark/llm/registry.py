@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, secrets, token_counts
+from . import bpe, exact_dedup, mixing, quality, secrets, simhash, token_counts, topk
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_topk": topk.op3_topk,
+    "op4_quality": quality.op4_quality,
     "op5_secrets": secrets.op5_secrets,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op9_bpe": bpe.op9_bpe,
@@ -14,5 +17,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_mix_sources": mixing.OP2_SQL,
+    "op3_topk": topk.OP3_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }
