@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html_text, mixing, quality, secrets, simhash, token_counts, topk
+from . import bpe, exact_dedup, html_text, lm, mixing, quality, secrets, simhash, token_counts, topk
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_secrets": secrets.op5_secrets,
     "op6_html_text": html_text.op6_html_text,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_lm": lm.op8_lm,
     "op9_bpe": bpe.op9_bpe,
     "op10_token_counts": token_counts.op10_token_counts,
 }
