@@ -55,7 +55,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: flo
         .withColumn("open", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
         .withColumn("level", (F.col("want") - F.col("capped")) / F.col("open"))
     )
-    level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything)
+    # the level rises from source to source while they are capped and falls after the last capped one: its peak is the one sought
+    level = F.max("level").over(everything)
     return per.withColumn("held", level).select(
         "source", "source_size", F.coalesce(F.least(F.col("weight") * F.col("held"), F.col("cap")), F.col("cap")).alias("target")
     )
@@ -112,7 +113,7 @@ levels AS (
   SELECT *, (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER before, 0.0))
     / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0.0)) AS level
   FROM placed WINDOW before AS (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-held AS (SELECT *, min(CASE WHEN level * weight <= cap THEN level END) OVER () AS held FROM levels),
+held AS (SELECT *, max(level) OVER () AS held FROM levels),
 aims AS (SELECT source, source_size, coalesce(least(weight * held, cap), cap) AS target FROM held),
 rates AS (
   SELECT s.doc_id, s.size, a.source_size, a.target,
