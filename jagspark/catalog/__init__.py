@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import elementwise
+from . import elementwise, ragged
 
-MODULES = [elementwise]
+MODULES = [elementwise, ragged]
 
 
 def queries() -> dict:
