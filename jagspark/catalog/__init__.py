@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import elementwise, ragged
+from . import arrays, elementwise, ragged
 
-MODULES = [elementwise, ragged]
+MODULES = [elementwise, ragged, arrays]
 
 
 def queries() -> dict:
