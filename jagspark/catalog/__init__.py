@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import arrays, elementwise, ragged
+from . import arrays, elementwise, ladder, ragged
 
-MODULES = [elementwise, ragged, arrays]
+MODULES = [elementwise, ragged, arrays, ladder]
 
 
 def queries() -> dict:
