@@ -51,39 +51,39 @@ def _rs(sql: str, digits: int = 4) -> str:
 _FINITE = "FILTER (NOT isnan(w))"
 #: Name: (column, digits, SQL).
 _REDUCE = {
-    "count": (D.REDUCTIONS["count"](F.col("w")), "count(w)"),
-    "count_nonzero": (D.REDUCTIONS["count_nonzero"](F.col("v") - 1), "count(*) FILTER (v <> 1)"),
-    "sum": (D.REDUCTIONS["sum"](F.col("v")), "sum(v)"),
-    "prod": (D.REDUCTIONS["prod"](F.lit(1.0) + F.col("v") / 1e7), "product(1 + v / 1e7::DOUBLE)"),
-    "mean": (D.REDUCTIONS["mean"](F.col("v")), "avg(v)"),
-    "var": (D.REDUCTIONS["var"](F.col("v")), "var_pop(v)"),
-    "var_ddof1": (D.REDUCTIONS["var"](F.col("v"), 1), "var_samp(v)"),
-    "std": (D.REDUCTIONS["std"](F.col("v")), "stddev_pop(v)"),
-    "min": (D.REDUCTIONS["min"](F.col("v")), "min(v)"),
-    "max": (D.REDUCTIONS["max"](F.col("v")), "max(v)"),
-    "ptp": (D.REDUCTIONS["ptp"](F.col("v")), "max(v) - min(v)"),
-    "any": (D.REDUCTIONS["any"](F.col("v") > 400).cast("int"), "bool_or(v > 400)::INT"),
-    "all": (D.REDUCTIONS["all"](F.col("v") > 0).cast("int"), "bool_and(v > 0)::INT"),
-    "moment": (D.REDUCTIONS["moment"](F.col("v") / 100, 3), "avg(pow(v / 100, 3))"),
-    "nansum": (D.REDUCTIONS["nansum"](F.col("w")), f"sum(w) {_FINITE}"),
-    "nanprod": (D.REDUCTIONS["nanprod"](F.lit(1.0) + F.col("w") / 1e7), f"product(1 + w / 1e7::DOUBLE) {_FINITE}"),
-    "nanmean": (D.REDUCTIONS["nanmean"](F.col("w")), f"avg(w) {_FINITE}"),
-    "nanmin": (D.REDUCTIONS["nanmin"](F.col("w")), f"min(w) {_FINITE}"),
-    "nanmax": (D.REDUCTIONS["nanmax"](F.col("w")), f"max(w) {_FINITE}"),
-    "nanvar": (D.REDUCTIONS["nanvar"](F.col("w")), f"var_pop(w) {_FINITE}"),
-    "nanstd": (D.REDUCTIONS["nanstd"](F.col("w")), f"stddev_pop(w) {_FINITE}"),
-    "argmin": (D.argmin(F.col("v"), F.col("o")), "min_by(o, (v, o))"),
-    "argmax": (D.argmax(F.col("v"), F.col("o")), "min_by(o, (-v, o))"),
-    "argmin_nan": (D.argmin(F.col("w"), F.col("o")), "min(o) FILTER (isnan(w))"),
-    "nanargmin": (D.PAIRED["nanargmin"](F.col("w"), F.col("o")), f"min_by(o, (w, o)) {_FINITE}"),
-    "nanargmax": (D.PAIRED["nanargmax"](F.col("w"), F.col("o")), f"min_by(o, (-w, o)) {_FINITE}"),
-    "corr": (D.PAIRED["corr"](F.col("v"), F.col("user_id")), "corr(v, user_id)"),
-    "covar": (D.PAIRED["covar"](F.col("v"), F.col("user_id")), "covar_pop(v, user_id)"),
-    "linear_fit": (D.linear_fit(F.col("v"), F.col("user_id").cast("double"))["slope"], "regr_slope(v, user_id)"),
-    "mean_weighted": (D.weighted_mean(F.col("v"), F.col("user_id")), "sum(v * user_id) / sum(user_id)"),
+    "count": (lambda: D.REDUCTIONS["count"](F.col("w")), "count(w)"),
+    "count_nonzero": (lambda: D.REDUCTIONS["count_nonzero"](F.col("v") - 1), "count(*) FILTER (v <> 1)"),
+    "sum": (lambda: D.REDUCTIONS["sum"](F.col("v")), "sum(v)"),
+    "prod": (lambda: D.REDUCTIONS["prod"](F.lit(1.0) + F.col("v") / 1e7), "product(1 + v / 1e7::DOUBLE)"),
+    "mean": (lambda: D.REDUCTIONS["mean"](F.col("v")), "avg(v)"),
+    "var": (lambda: D.REDUCTIONS["var"](F.col("v")), "var_pop(v)"),
+    "var_ddof1": (lambda: D.REDUCTIONS["var"](F.col("v"), 1), "var_samp(v)"),
+    "std": (lambda: D.REDUCTIONS["std"](F.col("v")), "stddev_pop(v)"),
+    "min": (lambda: D.REDUCTIONS["min"](F.col("v")), "min(v)"),
+    "max": (lambda: D.REDUCTIONS["max"](F.col("v")), "max(v)"),
+    "ptp": (lambda: D.REDUCTIONS["ptp"](F.col("v")), "max(v) - min(v)"),
+    "any": (lambda: D.REDUCTIONS["any"](F.col("v") > 400).cast("int"), "bool_or(v > 400)::INT"),
+    "all": (lambda: D.REDUCTIONS["all"](F.col("v") > 0).cast("int"), "bool_and(v > 0)::INT"),
+    "moment": (lambda: D.REDUCTIONS["moment"](F.col("v") / 100, 3), "avg(pow(v / 100, 3))"),
+    "nansum": (lambda: D.REDUCTIONS["nansum"](F.col("w")), f"sum(w) {_FINITE}"),
+    "nanprod": (lambda: D.REDUCTIONS["nanprod"](F.lit(1.0) + F.col("w") / 1e7), f"product(1 + w / 1e7::DOUBLE) {_FINITE}"),
+    "nanmean": (lambda: D.REDUCTIONS["nanmean"](F.col("w")), f"avg(w) {_FINITE}"),
+    "nanmin": (lambda: D.REDUCTIONS["nanmin"](F.col("w")), f"min(w) {_FINITE}"),
+    "nanmax": (lambda: D.REDUCTIONS["nanmax"](F.col("w")), f"max(w) {_FINITE}"),
+    "nanvar": (lambda: D.REDUCTIONS["nanvar"](F.col("w")), f"var_pop(w) {_FINITE}"),
+    "nanstd": (lambda: D.REDUCTIONS["nanstd"](F.col("w")), f"stddev_pop(w) {_FINITE}"),
+    "argmin": (lambda: D.argmin(F.col("v"), F.col("o")), "min_by(o, (v, o))"),
+    "argmax": (lambda: D.argmax(F.col("v"), F.col("o")), "min_by(o, (-v, o))"),
+    "argmin_nan": (lambda: D.argmin(F.col("w"), F.col("o")), "min(o) FILTER (isnan(w))"),
+    "nanargmin": (lambda: D.PAIRED["nanargmin"](F.col("w"), F.col("o")), f"min_by(o, (w, o)) {_FINITE}"),
+    "nanargmax": (lambda: D.PAIRED["nanargmax"](F.col("w"), F.col("o")), f"min_by(o, (-w, o)) {_FINITE}"),
+    "corr": (lambda: D.PAIRED["corr"](F.col("v"), F.col("user_id")), "corr(v, user_id)"),
+    "covar": (lambda: D.PAIRED["covar"](F.col("v"), F.col("user_id")), "covar_pop(v, user_id)"),
+    "linear_fit": (lambda: D.linear_fit(F.col("v"), F.col("user_id").cast("double"))["slope"], "regr_slope(v, user_id)"),
+    "mean_weighted": (lambda: D.weighted_mean(F.col("v"), F.col("user_id")), "sum(v * user_id) / sum(user_id)"),
 }
 for _name, (_column, _sql) in _REDUCE.items():
-    _add(f"arr_{_name}", f"WITH {_EV} SELECT {_rs(_sql, 6)} AS r FROM e")(lambda spark, sf_dir, c=_column: D.reduce(_events(spark, sf_dir), r=_r(c, 6)))
+    _add(f"arr_{_name}", f"WITH {_EV} SELECT {_rs(_sql, 6)} AS r FROM e")(lambda spark, sf_dir, c=_column: D.reduce(_events(spark, sf_dir), r=_r(c(), 6)))
 
 
 @_add("arr_aggregate_many", f"WITH {_EV} SELECT {_rs('sum(v)')} AS total, {_rs('avg(v)')} AS mean, {_rs('max(v)')} AS top, count(*) AS n FROM e")
@@ -102,13 +102,13 @@ def _axis0(spark, sf_dir):
 
 _ROWS = "ORDER BY o ROWS UNBOUNDED PRECEDING"
 for _kind, _value, _sql in (
-    ("cumsum", F.col("v"), f"sum(v) OVER ({_ROWS})"),
-    ("cumprod", 1 + F.col("v") / 1e7, f"product(1 + v / 1e7::DOUBLE) OVER ({_ROWS})"),
-    ("nancumsum", F.coalesce("w", F.lit(0.0)), f"sum(CASE WHEN w IS NULL OR isnan(w) THEN 0 ELSE w END) OVER ({_ROWS})"),
-    ("nancumprod", 1 + F.coalesce("w", F.lit(0.0)) / 1e7, f"product(CASE WHEN isnan(w) THEN 1 ELSE 1 + coalesce(w, 0) / 1e7::DOUBLE END) OVER ({_ROWS})"),
+    ("cumsum", lambda: F.col("v"), f"sum(v) OVER ({_ROWS})"),
+    ("cumprod", lambda: 1 + F.col("v") / 1e7, f"product(1 + v / 1e7::DOUBLE) OVER ({_ROWS})"),
+    ("nancumsum", lambda: F.coalesce("w", F.lit(0.0)), f"sum(CASE WHEN w IS NULL OR isnan(w) THEN 0 ELSE w END) OVER ({_ROWS})"),
+    ("nancumprod", lambda: 1 + F.coalesce("w", F.lit(0.0)) / 1e7, f"product(CASE WHEN isnan(w) THEN 1 ELSE 1 + coalesce(w, 0) / 1e7::DOUBLE END) OVER ({_ROWS})"),
 ):
     _add(f"arr_{_kind}", f"WITH {_EV} SELECT o, {_rs('r', 3)} AS r FROM (SELECT o, {_sql} AS r FROM e)")(
-        lambda spark, sf_dir, k=_kind, x=_value: B.scan(_events(spark, sf_dir).withColumn("x", x), "o", "x", k, "s").select("o", _r(F.col("s"), 3).alias("r"))
+        lambda spark, sf_dir, k=_kind, x=_value: B.scan(_events(spark, sf_dir).withColumn("x", x()), "o", "x", k, "s").select("o", _r(F.col("s"), 3).alias("r"))
     )
 
 
