@@ -43,6 +43,17 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+@functools.cache
+def newer_letters() -> frozenset[str]:
+    """Code points that the regex module's Unicode version calls letters or digits and the tokenizer's older one leaves unassigned."""
+    none = "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn")
+    return frozenset(regex.findall(r"[\p{L}\p{N}]", none))
+
+
+class _Newer(Exception):
+    """A pre-token holds such a code point: the text has to be split anew."""
+
+
 class _Encodings(dict):
     """Word -> ids, encoded when first asked for."""
 
@@ -51,6 +62,8 @@ class _Encodings(dict):
         self.codec = codec
 
     def __missing__(self, word: str) -> tuple[int, ...]:
+        if not newer_letters().isdisjoint(word):
+            raise _Newer
         ids = tuple(self.codec.encode_word(word))
         if len(word) <= CACHE_LENGTH:
             if len(self) >= CACHE_WORDS:
@@ -119,18 +132,26 @@ class Codec:
         text = text.lower() if "Σ" not in text else "".join(map(str.lower, text))
         return self.split.findall(text)
 
+    def _plain(self, text: str) -> list[int]:
+        """Ids of a text without special tokens."""
+        words = self.words(text)
+        try:
+            return list(chain.from_iterable(map(self.encodings.__getitem__, words)))
+        except _Newer:  # rare: such letters stand in as private-use marks while the text is split
+            odd = sorted(newer_letters().intersection(text))
+            spare = (c for c in range(0xF0000, 0x110000) if c & 0xFFFE != 0xFFFE and chr(c) not in text)
+            marks = dict(zip(map(ord, odd), spare, strict=False))
+            back = {mark: c for c, mark in marks.items()}
+            return [i for w in self.words(text.translate(marks)) for i in self.encode_word(w.translate(back))]
+
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        encodings = self.encodings
         if self.split_special is None or "<|" not in text and not self.split_special.search(text):
-            return list(chain.from_iterable(map(encodings.__getitem__, self.words(text))))
+            return self._plain(text)
         ids: list[int] = []
         for piece in self.split_special.split(text):
-            if piece in self.special:
-                ids.append(self.special[piece])
-            else:
-                ids.extend(chain.from_iterable(map(encodings.__getitem__, self.words(piece))))
+            ids += [self.special[piece]] if piece in self.special else self._plain(piece)
         return ids
 
     def decode(self, ids: list[int]) -> str:
