@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import arrays, elementwise, ladder, ragged
+from . import arrays, elementwise, external, ladder, ragged
 
-MODULES = [elementwise, ragged, arrays, ladder]
+MODULES = [elementwise, ragged, arrays, ladder, external]
 
 
 def queries() -> dict:
