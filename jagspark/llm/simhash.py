@@ -3,9 +3,9 @@
 A text's fingerprint has 64 bits; a bit is 1 if set in over half the XXH64 hashes (seed 42) of its word shingles. Fingerprints link at
 MOST or fewer differing bits, and components follow.
 
-Links: distinct fingerprints, one row each, are dealt to cells that hold every linking pair: of 2 * MOST bit blocks, a pair with at
-most MOST differences agrees in MOST blocks at least, so each choice of MOST blocks makes a cell of the fingerprints that agree in
-them. In a cell, a table of the Hamming distances to PIVOTS reference fingerprints discards every pair with a coordinate that differs by
+Links: distinct fingerprints, one row each, are dealt to cells that hold every linking pair: of MOST + AGREE bit blocks, a pair with at
+most MOST differences agrees in AGREE blocks at least, so each choice of AGREE blocks makes a cell of the fingerprints that agree in
+them. More agreement makes more and smaller cells, never other links. In a cell, a table of the Hamming distances to PIVOTS reference fingerprints discards every pair with a coordinate that differs by
 more than MOST (the triangle inequality); the survivors are verified bit by bit. The first pivot orders the cell, so that only its window is
 ever paired. A cell emits a star for each of its components, not its pairs. (Pivot distances alone leave no route that
 avoids comparing all pairs of a table that does not fit one task; the cells are that route, and lose no pair.)
@@ -34,6 +34,7 @@ from .common import small_batches, stored, table
 
 WIDTH = 3
 MOST = 3
+AGREE = 3
 SEED = 42
 PIVOTS = 32
 CELL_ROWS = 20_000
@@ -84,11 +85,12 @@ def pivots(count: int = PIVOTS) -> np.ndarray:
     return rows ^ np.uint64(0x8F1BBCDC_CA62C1D6)
 
 
-def masks(most: int = MOST) -> list[int]:
-    """The bit masks of the cells: every choice of `most` of 2 * `most` blocks."""
-    cuts = [round(64 * i / (2 * most)) for i in range(2 * most + 1)]
+def masks(most: int = MOST, agree: int = AGREE) -> list[int]:
+    """The bit masks of the cells: every choice of `agree` of most + agree blocks."""
+    n = most + agree
+    cuts = [round(64 * i / n) for i in range(n + 1)]
     block = [((1 << b) - 1) & ~((1 << a) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
-    return [sum(block[i] for i in c) for c in combinations(range(2 * most), most)] if most else [(1 << 64) - 1]
+    return [sum(block[i] for i in c) for c in combinations(range(n), agree)]
 
 
 def cell_pairs(cell: np.ndarray, prints: np.ndarray, most: int, references: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,9 +149,9 @@ def _split(prints: np.ndarray, free: int, most: int, references: np.ndarray) ->
     return out
 
 
-def links(prints: DataFrame, most: int = MOST) -> DataFrame:
+def links(prints: DataFrame, most: int = MOST, agree: int = AGREE) -> DataFrame:
     """(a, b): pairs of distinct fingerprints that make the same components as all linking pairs."""
-    every = masks(most)
+    every = masks(most, agree)
     signed = [m - (1 << 64) if m >> 63 else m for m in every]
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("print").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(signed)]))
     dealt = prints.select("print", cells.alias("cell")).select("cell.choice", "cell.bits", "print")
@@ -208,20 +210,20 @@ def stars_of(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def components_of(docs: DataFrame, width: int = WIDTH, most: int = MOST) -> DataFrame:
+def components_of(docs: DataFrame, width: int = WIDTH, most: int = MOST, agree: int = AGREE) -> DataFrame:
     """doc_id, print, component_id of every row."""
     prints = stored(fingerprints(docs, width), "simhash-prints")
     classes = prints.groupBy("print").agg(F.min("doc_id").alias("least"))
-    roots = stars_of(links(classes.select("print"), most))
+    roots = stars_of(links(classes.select("print"), most, agree))
     named = classes.join(roots.withColumnRenamed("a", "print"), "print", "left").select("print", "least", F.coalesce("b", "print").alias("root"))
     named = stored(named, "simhash-classes")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(named.join(ids, "root").select("print", "component_id"), "print").select("doc_id", "print", "component_id")
 
 
-def deduplicate(docs: DataFrame, width: int = WIDTH, most: int = MOST) -> DataFrame:
+def deduplicate(docs: DataFrame, width: int = WIDTH, most: int = MOST, agree: int = AGREE) -> DataFrame:
     """One row of each component: that of its smallest doc_id, with docs' columns; of rows that repeat this id, one."""
-    found = stored(components_of(docs, width, most), "simhash-components")
+    found = stored(components_of(docs, width, most, agree), "simhash-components")
     kept = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
     kept = stored(kept, "simhash-kept")
     key = lambda c: F.coalesce(c.cast("string"), F.lit("null"))

@@ -85,22 +85,22 @@ def brute_components(prints, most=3):
     return label
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_links_lose_no_component(spark, seed):
+@pytest.mark.parametrize("seed, most, agree", [(0, 3, 3), (1, 3, 3), (2, 7, 2), (3, 7, 3), (4, 2, 1)])
+def test_links_lose_no_component(spark, seed, most, agree):
     rng = random.Random(seed)
     prints = {0, 2**64 - 1}
     for _ in range(60):
         p = rng.getrandbits(64)
         prints.add(p)
         for _ in range(rng.randrange(6)):
-            for _ in range(rng.randrange(1, 5)):
+            for _ in range(rng.randrange(1, most + 2)):
                 p ^= 1 << rng.randrange(64)
             prints.add(p)
     prints = sorted(prints)
     signed = [p - 2**64 if p >> 63 else p for p in prints]
-    stars = S.stars_of(S.links(spark.createDataFrame([(p,) for p in signed], "print long"))).collect()
+    stars = S.stars_of(S.links(spark.createDataFrame([(p,) for p in signed], "print long"), most, agree)).collect()
     root = {r.a: r.b for r in stars}
-    want = brute_components(prints)
+    want = brute_components(prints, most)
     got = [root.get(p, p) for p in signed]
     assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
 
