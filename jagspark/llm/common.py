@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -38,14 +39,27 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             where = held.get()
+        elif not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             where = "file://" + tempfile.mkdtemp(prefix="jagspark-")
             spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the tables that this process has stored in the shared folder; results read from them are gone too."""
+    while _made:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -62,7 +62,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: flo
     )
 
 
-def rated(sizes: DataFrame, per: DataFrame, seed: int = SEED) -> DataFrame:
+def rated(sizes: DataFrame, per: DataFrame, seed: int = SEED, most: float = MOST) -> DataFrame:
     """`sizes` with its source's source_size and target, and `copies`: how often the mix takes the row."""
     key = lambda c: (F.coalesce(c, F.lit("")), c.isNull())
     named, empty = key(F.col("source"))
@@ -70,7 +70,7 @@ def rated(sizes: DataFrame, per: DataFrame, seed: int = SEED) -> DataFrame:
         named.alias("_named"), empty.alias("_empty"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"), "source_size", "target"
     )
     left = sizes.withColumns({"_named": named, "_empty": empty, "_salt": F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int")})
-    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST)))).otherwise(F.lit(0.0))
+    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
     return (
         left.join(right, ["_named", "_empty", "_salt"])
         .withColumn("_rate", rate)
@@ -92,7 +92,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float =
     per = targets(docs.select("source", word_count(F.col("text")).alias("size")), weights, budget, most)
     per = stored(per, "mix-targets")
     rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
-    taken = rated(rows, per, seed).where("copies > 0")
+    taken = rated(rows, per, seed, most).where("copies > 0")
     return taken.select(F.explode(F.array_repeat("_row", F.col("copies").cast("int"))).alias("_row")).select("_row.*")
 
 
