@@ -38,14 +38,16 @@ def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shown(r: Column) -> tuple[Column, Column]:
-    """(kind, value): 'nan', 'inf', '-inf' or 'null' beside NULL, or 'fin' and the value to six decimals without a signed zero."""
+    """(kind, value): 'nan', 'inf', '-inf' or 'null' beside NULL, or 'fin' and the value to six decimals without a signed zero.
+
+    The shift keeps exact halves of the last decimal from depending on the last bit."""
     kind = F.when(r.isNull(), "null").when(F.isnan(r), "nan").when(r == INF, "inf").when(r == -INF, "-inf").otherwise("fin")
-    return kind.alias("kind"), F.when(kind == "fin", F.round(r, 6) + 0.0).alias("r")
+    return kind.alias("kind"), F.when(kind == "fin", F.round(r + 3e-10, 6) + 0.0).alias("r")
 
 
 SHOWN_SQL = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
   CASE WHEN r IS NULL THEN 'null' WHEN isnan(r) THEN 'nan' WHEN r = 'Infinity'::DOUBLE THEN 'inf' WHEN r = '-Infinity'::DOUBLE THEN '-inf' ELSE 'fin' END AS kind,
-  CASE WHEN isfinite(r) THEN round(r, 6) + 0.0::DOUBLE END AS r
+  CASE WHEN isfinite(r) THEN round(r + 3e-10::DOUBLE, 6) + 0.0::DOUBLE END AS r
 FROM (SELECT *, ({})::DOUBLE AS r FROM ({}))"""
 
 #: Operation: DuckDB expression of x, y (doubles), i, j (whole numbers), n (small whole number), p, q (booleans).

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions import ragged as R
+from ..functions import regular as G
 from ..functions import udf as U
 from ..sources import io as IO
 from .arrays import _r, _read, _rs
@@ -80,3 +82,32 @@ def creation(spark, sf_dir):
     for other in (IO.ones(spark, 100, "ones"), IO.full(spark, 100, 2.5, "full"), IO.arange(spark, 1.0, 51.0, 0.5, "arange"), IO.linspace(spark, -5.0, 5.0, 100, "linspace")):
         made = made.join(other, "ordinal")
     return made.select("ordinal", "zeros", "ones", "full", _r(F.col("arange")).alias("arange"), _r(F.col("linspace")).alias("linspace"))
+
+
+@_add("io_partitions", "SELECT event_id, value FROM events")
+def partitions(spark, sf_dir):
+    """Three parts of the file, read one by one and put together."""
+    parts = [IO.read_partition(spark, p, ["event_id", "value"]) for p in IO.make_partitions(spark, f"{sf_dir}/events.parquet", 3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+# ---------------------------------------------------------------- regular arrays
+
+
+def _cell(name: str, sql: str, make) -> None:
+    QUERIES[name] = lambda spark, sf_dir: _read(spark, sf_dir, "embeddings").select("vec_id", _r(make(F.col("embedding")), 4).alias("r"))
+    ORACLE_SQL[name] = f"SELECT vec_id, {_rs(sql, 4)} AS r FROM embeddings"
+
+
+_total = R.sum
+_cell("reg_subscript", "list_sum(list_transform(embedding[17:24], lambda x: x::DOUBLE))", lambda c: _total(G.subscript(G.reshape(c, 8), 2)))
+_cell("reg_subscript_slice", "list_sum(list_transform([embedding[i * 8 + 4] for i in range(1, 8)], lambda x: x::DOUBLE))", lambda c: _total(G.ravel(G.subscript(G.reshape(c, 8), slice(1, None), slice(3, -4)))))
+_cell("reg_take", "embedding[6]::DOUBLE * 10 + embedding[64]::DOUBLE", lambda c: F.get(G.take(c, [5, -1]), 0).cast("double") * 10 + F.get(G.take(c, [5, -1]), 1).cast("double"))
+_cell("reg_squeeze", "embedding[1]::DOUBLE", lambda c: F.get(G.squeeze(G.expand_dims(c)), 0))
+_cell("reg_swapaxes", "list_sum(list_transform([embedding[i * 8 + 3] for i in range(0, 8)], lambda x: x::DOUBLE))", lambda c: _total(F.get(G.swapaxes(G.reshape(c, 8)), 2)))
+_cell("reg_ravel", "list_sum(list_transform(embedding, lambda x: x::DOUBLE))", lambda c: _total(G.ravel(G.transpose(G.reshape(c, 16)))))
+_cell("reg_hstack", "2 * list_sum(list_transform(embedding, lambda x: x::DOUBLE)) + len(embedding)", lambda c: _total(G.hstack([c, c])) + F.size(c))
+_cell("reg_clip", "list_sum(list_transform(embedding, lambda x: least(greatest(x::DOUBLE, -0.1::DOUBLE), 0.05::DOUBLE)))", lambda c: _total(F.transform(c, lambda x: G.clip(x, -0.1, 0.05))))
+_cell("reg_round", "list_sum(list_transform(embedding, lambda x: round_even(x::DOUBLE * 100, 0) / 100))", lambda c: _total(F.transform(c, lambda x: G.round(x, 2))))
+_cell("reg_astype", "list_sum(list_transform(embedding, lambda x: trunc(x::DOUBLE * 100)))", lambda c: _total(F.transform(c, lambda x: G.astype(x.cast("double") * 100, "int"))))
+_cell("reg_cumsum_inner", "list_sum(list_transform(list_zip(embedding, range(64, 0, -1)), lambda p: p[1]::DOUBLE * p[2]))", lambda c: _total(F.transform(c, lambda x, i: R.sum(F.slice(c, 1, i + 1)))))

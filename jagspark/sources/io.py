@@ -225,3 +225,41 @@ class _StepReader(DataSourceReader):
 
     def read(self, partition: _Range) -> Iterator[tuple]:
         return self.source.read_range(partition.start, partition.stop)
+
+
+class Sources:
+    """Named sources of a session: DataFrames, or functions that make one when first used; each is a temporary view for SQL too."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._held = spark, {}
+
+    def add(self, name: str, data, **params) -> None:
+        """data: a DataFrame or a function of params. A name is given once."""
+        if name in self._held:
+            raise ValueError(f"source {name} is there already")
+        self._held[name] = (data, params)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        data, params = self._held[name]
+        df = data if isinstance(data, DataFrame) else data(**params)
+        self._held[name] = (df, {})
+        df.createOrReplaceTempView(name)
+        return df
+
+    def names(self) -> list[str]:
+        return list(self._held)
+
+
+def make_partitions(spark: SparkSession, path: str | Sequence[str], steps_per_file: int = 1) -> list[tuple[str, int, int]]:
+    """(file, step, steps): blind parts, whose rows are known when read."""
+    return [(f, i, steps_per_file) for f in discover(spark, path) for i in range(steps_per_file)]
+
+
+def read_partition(spark: SparkSession, part: tuple[str, int, int], columns: Sequence[str] | None = None) -> DataFrame:
+    """The rows of one part: row i of n goes to step i * steps // n, by the file's own row index and footer count."""
+    file, step, steps = part
+    n = num_rows(spark, file)
+    low, high = -(-step * n // steps), -(-(step + 1) * n // steps)
+    df = spark.read.schema(narrowed(schema_of(spark, file), columns)).parquet(file)
+    at = F.col("_metadata.row_index")
+    return df.where((at >= low) & (at < high))
