@@ -14,9 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from jagspark.llm import bpe, exact_dedup, mixing, quality, simhash
 from jagspark.llm.common import stored, table
 
-NEAR_WIDTH, NEAR_BITS, NEAR_AGREE = 2, 7, 2
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; it learns from labels and the documents given."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
@@ -30,10 +27,11 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the smallest doc_id.
 
-    Near copies are texts of which four fifths of the five-word shingles agree. Fingerprints of two-word shingles tell them from other texts
-    best: at 7 bits or fewer they find five in six such pairs, at op1's 3 bits of three-word shingles one in ten (figures in the README).
+    Near copies are texts whose five-word shingles agree to four fifths or more. SimHash at op1's 3 bits of three-word shingles finds one
+    such pair in ten; fingerprints of two-word shingles within 7 bits find five in six (figures in the README), and sketches of the
+    five-word shingles then leave out texts that just share a passage.
     """
-    return simhash.deduplicate(docs, width=NEAR_WIDTH, most=NEAR_BITS, agree=NEAR_AGREE)
+    return simhash.keep_one_of_each(docs, simhash.near_copies(docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

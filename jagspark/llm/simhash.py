@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, table
+from .common import mix, small_batches, stored, table
 
 WIDTH = 3
 MOST = 3
@@ -116,9 +116,9 @@ def cell_pairs(cell: np.ndarray, prints: np.ndarray, most: int, references: np.n
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
-def stars(prints: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint, its component's least row's fingerprint) of the linked rows: a tree's worth of links for any number of pairs."""
-    label = np.arange(len(prints))
+def _labels(n: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that are not their component's least row, each row's least row)."""
+    label = np.arange(n)
     while True:
         least = np.minimum(label[left], label[right])
         new = label.copy()
@@ -126,17 +126,42 @@ def stars(prints: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.n
         np.minimum.at(new, right, least)
         new = new[new]
         if (new == label).all():
-            break
+            return np.flatnonzero(label != np.arange(n)), label
         label = new
-    at = np.flatnonzero(label != np.arange(len(prints)))
+
+
+def stars(prints: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, its component's least row's fingerprint) of the linked rows: a tree's worth of links for any number of pairs."""
+    at, label = _labels(len(prints), left, right)
     return prints[at], prints[label[at]]
 
 
-def _split(prints: np.ndarray, free: int, most: int, references: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Stars of one large cell: it splits by most + 1 blocks of its free bits, one of which a linking pair shares."""
+def candidates(nodes: np.ndarray, left: np.ndarray, right: np.ndarray, whole: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs to check, in proportion to the rows: all pairs of components of up to `whole` rows; in larger ones each row with its
+    component's hub (most linked row) and with the least linked row beside it."""
+    _, root = _labels(len(nodes), left, right)
+    degree = np.bincount(left, minlength=len(nodes)) + np.bincount(right, minlength=len(nodes))
+    small = np.bincount(root, minlength=len(nodes))[root] <= whole
+    order = np.lexsort((np.arange(len(nodes)), -degree, root))
+    first = np.concatenate([[True], root[order][1:] != root[order][:-1]]) if len(order) else np.zeros(0, bool)
+    hub = np.zeros(len(nodes), np.int64)
+    hub[root[order][first]] = order[first]
+    far = np.flatnonzero(~small)
+    near = np.full(len(nodes), len(nodes))
+    np.minimum.at(near, left, right)
+    np.minimum.at(near, right, left)
+    inside = small[left]
+    a = np.concatenate([left[inside], far, far])
+    b = np.concatenate([right[inside], hub[root[far]], near[far]])
+    apart = a != b
+    return nodes[a[apart]], nodes[b[apart]]
+
+
+def _split(prints: np.ndarray, nodes: np.ndarray, free: int, most: int, references: np.ndarray, make=None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links of one large cell: it splits by most + 1 blocks of its free bits, one of which a linking pair shares."""
     bits = [b for b in range(64) if free >> b & 1]
     if len(prints) <= CELL_ROWS or len(bits) <= most:
-        return [stars(prints, *cell_pairs(np.zeros(len(prints), np.int8), prints, most, references))]
+        return [(make or stars)(nodes, *cell_pairs(np.zeros(len(prints), np.int8), prints, most, references))]
     out = []
     for i in range(most + 1):
         block = sum(1 << b for b in bits[i :: most + 1])
@@ -145,28 +170,33 @@ def _split(prints: np.ndarray, free: int, most: int, references: np.ndarray) ->
         cuts = np.flatnonzero(np.diff(key[order])) + 1
         for part in np.split(order, cuts):
             if len(part) > 1:
-                out += _split(prints[part], free & ~block, most, references)
+                out += _split(prints[part], nodes[part], free & ~block, most, references, make)
     return out
 
 
-def links(prints: DataFrame, most: int = MOST, agree: int = AGREE) -> DataFrame:
-    """(a, b): pairs of distinct fingerprints that make the same components as all linking pairs."""
+def links(prints: DataFrame, most: int = MOST, agree: int = AGREE, node: str | None = None) -> DataFrame:
+    """(a, b): pairs of distinct fingerprints that make the same components as all linking pairs.
+
+    node: a column that tells rows apart instead of the fingerprint; then candidates come for a later check (see `candidates`).
+    """
     every = masks(most, agree)
     signed = [m - (1 << 64) if m >> 63 else m for m in every]
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("print").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(signed)]))
-    dealt = prints.select("print", cells.alias("cell")).select("cell.choice", "cell.bits", "print")
+    own = [node] if node else []
+    dealt = prints.select("print", *own, cells.alias("cell")).select("cell.choice", "cell.bits", "print", *own)
     dealt = dealt.repartition("choice", "bits").sortWithinPartitions("choice", "bits")
     references = pivots()
 
-    def look(choice: np.ndarray, bits: np.ndarray, prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    def look(choice: np.ndarray, bits: np.ndarray, prints: np.ndarray, nodes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         starts = np.concatenate([[True], (choice[1:] != choice[:-1]) | (bits[1:] != bits[:-1])])
         cell = np.cumsum(starts)
         size = np.bincount(cell)[cell]
         small = (size > 1) & (size <= CELL_ROWS)
-        out = [stars(prints[small], *cell_pairs(cell[small], prints[small], most, references))] if small.any() else []
+        make = candidates if node else stars
+        out = [make(nodes[small], *cell_pairs(cell[small], prints[small], most, references))] if small.any() else []
         for c in np.unique(cell[size > CELL_ROWS]):
             rows = cell == c
-            out += _split(prints[rows], ~every[int(choice[rows][0])] & ((1 << 64) - 1), most, references)
+            out += _split(prints[rows], nodes[rows], ~every[int(choice[rows][0])] & ((1 << 64) - 1), most, references, make)
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,19 +207,23 @@ def links(prints: DataFrame, most: int = MOST, agree: int = AGREE) -> DataFrame:
                 if len(a):
                     yield pa.record_batch([pa.array(np.maximum(a.view(np.int64), b.view(np.int64))), pa.array(np.minimum(a.view(np.int64), b.view(np.int64)))], names=["a", "b"])
 
+        def ready(columns):
+            choice, bits, prints, *nodes = columns
+            return choice, bits, prints.view(np.uint64), (nodes[0] if nodes else prints).view(np.uint64)
+
         for batch in batches:
             held.append([c.to_numpy() for c in batch.columns])
             rows += len(batch)
             if rows >= CHUNK_ROWS:
-                choice, bits, prints = (np.concatenate(x) for x in zip(*held, strict=True))
+                columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+                choice, bits = columns[:2]
                 ends = np.flatnonzero((choice[1:] != choice[:-1]) | (bits[1:] != bits[:-1]))
                 cut = int(ends[-1]) + 1 if len(ends) else 0  # the last cell may go on
                 if cut:
-                    yield from emit(look(choice[:cut], bits[:cut], prints[:cut].view(np.uint64)))
-                held, rows = [[choice[cut:], bits[cut:], prints[cut:]]], len(choice) - cut
+                    yield from emit(look(*ready([c[:cut] for c in columns])))
+                held, rows = [[c[cut:] for c in columns]], len(choice) - cut
         if rows:
-            choice, bits, prints = (np.concatenate(x) for x in zip(*held, strict=True))
-            yield from emit(look(choice, bits, prints.view(np.uint64)))
+            yield from emit(look(*ready([np.concatenate(x) for x in zip(*held, strict=True)])))
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -223,7 +257,67 @@ def components_of(docs: DataFrame, width: int = WIDTH, most: int = MOST, agree:
 
 def deduplicate(docs: DataFrame, width: int = WIDTH, most: int = MOST, agree: int = AGREE) -> DataFrame:
     """One row of each component: that of its smallest doc_id, with docs' columns; of rows that repeat this id, one."""
-    found = stored(components_of(docs, width, most, agree), "simhash-components")
+    return keep_one_of_each(docs, components_of(docs, width, most, agree))
+
+
+# ---------------------------------------------------------------- near copies, checked
+
+BINS = 128
+
+
+def sketch(text: bytes, width: int = 5) -> bytes:
+    """Least 16 hash bits in each of BINS bins of the text's word shingles; 0xFFFF where a bin is empty."""
+    words, digest = text.lower().split(), xxhash.xxh64_intdigest
+    out = np.full(BINS, 0xFFFF, np.uint16)
+    if words:
+        word = np.array([digest(w) for w in words], np.uint64)
+        n = max(1, len(word) - width + 1)
+        shingle = np.zeros(n, np.uint64)
+        for i in range(min(width, len(word))):
+            shingle = mix(shingle * np.uint64(0x9E3779B97F4A7C15) + word[i : i + n])
+        np.minimum.at(out, (shingle >> np.uint64(57)).astype(np.int64), np.minimum(shingle & np.uint64(0xFFFF), np.uint64(0xFFFE)).astype(np.uint16))
+    return out.astype("<u2").tobytes()
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of rows of sketches; two empty texts are alike."""
+    some = (a != 0xFFFF) | (b != 0xFFFF)
+    return np.where(some.any(1), ((a == b) & some).sum(1) / np.maximum(1, some.sum(1)), 1.0)
+
+
+def near_copies(docs: DataFrame, width: int = 2, most: int = 7, agree: int = 2, shingle: int = 5, least: float = 0.7) -> DataFrame:
+    """doc_id, node, component_id of every row: texts linked by fingerprints within `most` bits whose sketches of `shingle`-word shingles then
+    agree in a share of `least`, a little under the similarity sought, since the estimate's error is about 0.04."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            prints = pa.array(np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64))
+            yield pa.record_batch([batch.column(0), prints, pa.array([sketch(t, shingle) for t in texts], pa.binary())], names=["doc_id", "print", "sketch"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, BINS) for i in (2, 3))
+                stay = pa.array(similarity(x, y) >= least)
+                yield pa.record_batch([batch.column(0).filter(stay), batch.column(1).filter(stay)], names=["a", "b"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, print long, sketch binary")
+    rows = stored(rows.withColumn("node", F.xxhash64("print", "sketch")), "near-prints")
+    nodes = stored(rows.groupBy("node").agg(F.min("print").alias("print"), F.min("doc_id").alias("least")), "near-nodes")
+    sketches = rows.select("node", "sketch").dropDuplicates(["node"])
+    pairs = stored(links(nodes.select("print", "node"), most, agree, node="node"), "near-candidates")
+    left = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
+    both = left.join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b").select("a", "b", "x", "y")
+    roots = stars_of(both.mapInArrow(check, "a long, b long"))
+    named = stored(nodes.join(roots.withColumnRenamed("a", "node"), "node", "left").select("node", "least", F.coalesce("b", "node").alias("root")), "near-classes")
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.select("doc_id", "node").join(named.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "node", "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of each component of `found` (doc_id, component_id): that of its smallest doc_id, with docs' columns; of rows that repeat this id, one."""
     kept = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
     kept = stored(kept, "simhash-kept")
     key = lambda c: F.coalesce(c.cast("string"), F.lit("null"))

@@ -110,7 +110,7 @@ def test_large_cells_split_exactly():
     prints = np.unique(rng.integers(0, 1 << 13, 3000, dtype=np.uint64))
     old, S.CELL_ROWS = S.CELL_ROWS, 100
     try:
-        found = S._split(prints, (1 << 64) - 1, 3, S.pivots())
+        found = S._split(prints, prints, (1 << 64) - 1, 3, S.pivots())
     finally:
         S.CELL_ROWS = old
     label = {int(p): int(p) for p in prints}
@@ -139,3 +139,36 @@ def test_near_dedup_on_odd_rows(spark):
     assert left.columns == docs.columns
     assert sorted(r.doc_id for r in left.collect()) == sorted(set(least.values()))
     assert S.components_of(docs.limit(0)).count() == 0
+
+
+def test_near_copies_are_found_and_shared_passages_left_alone(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    passage = " ".join(rng.choice(vocabulary) for _ in range(25))
+    base = [[rng.choice(vocabulary) for _ in range(300)] for _ in range(12)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)]
+    for i, w in enumerate(base):  # eight copies of each with three words changed: similarity 0.9
+        for c in range(8):
+            copy = list(w)
+            for at in rng.sample(range(300), 3):
+                copy[at] = "changed"
+            rows.append((100 + 10 * i + c, " ".join(copy)))
+    rows += [(1000 + i, " ".join(rng.choice(vocabulary) for _ in range(30)) + " " + passage) for i in range(40)] + [(2000, None), (2001, ""), (2002, " ")]
+    found = {r.doc_id: r.component_id for r in S.near_copies(documents(spark, rows)).collect()}
+    assert all(found[i] == i for i in [*range(12), *range(1000, 1040)])
+    copies = [found[100 + 10 * i + c] == i for i in range(12) for c in range(8)]
+    assert sum(copies) >= 0.9 * len(copies)
+    assert {found[i] for i in (2000, 2001, 2002)} == {2000}
+    assert S.near_copies(documents(spark, rows).limit(0)).count() == 0
+
+
+def test_sketches_estimate_similarity():
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(5000)}" for _ in range(600)]
+    other = list(words)
+    for at in range(0, 600, 60):
+        other[at] = "x"
+    cut = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    true = len(cut(words) & cut(other)) / len(cut(words) | cut(other))
+    a, b = (np.frombuffer(S.sketch(" ".join(w).encode()), "<u2")[None] for w in (words, other))
+    assert abs(S.similarity(a, b)[0] - true) < 0.12
