@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 CACHE_LENGTH = 64
 #: Unicode white space, as the tokenizer's \s takes it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"

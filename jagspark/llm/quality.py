@@ -115,6 +115,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, float]], epochs: int = EPOCHS)
 
     for _ in range(epochs):
         for slots, values, label in rows:
+            values = values.astype(float)
             zs, ns = z[slots], n[slots]
             w = weight(zs, ns)
             p = 1 / (1 + np.exp(-np.clip(w @ values, -35, 35)))
@@ -127,7 +128,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, float]], epochs: int = EPOCHS)
 
 def _train(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values(["turn", "label", "slots"], kind="stable")
-    rows = [(np.frombuffer(s, np.int32), np.frombuffer(v, np.float32).astype(float), float(y)) for s, v, y in zip(frame["slots"], frame["vals"], frame["label"], strict=True)]
+    rows = [(np.frombuffer(s, np.int32), np.frombuffer(v, np.float32), float(y)) for s, v, y in zip(frame["slots"], frame["vals"], frame["label"], strict=True)]
     return pd.DataFrame({"weights": [ftrl(rows).tobytes()]})
 
 
