@@ -127,11 +127,15 @@ def arctan2(a, b) -> Column:
     return _nulls(F.when((a == 0) & ((b == 0) | (b != b)), copysign(zero, a)).when((a == 0) & ~F.isnan(b), copysign(F.when(_sign_bit(b), F.lit(math.pi)).otherwise(F.lit(0.0)), a)).otherwise(F.atan2(a, b)), a, b)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value in the plan once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _exponent(x: Column) -> Column:
     """floor(log2(x)) of a positive finite x, exact, at least the least normal exponent."""
-    guess = F.floor(F.log2(x))
-    guess = F.when(F.pow(F.lit(2.0), guess) > x, guess - 1).when(F.pow(F.lit(2.0), guess + 1) <= x, guess + 1).otherwise(guess)
-    return F.greatest(guess, F.lit(-1022))
+    two = lambda e: F.pow(F.lit(2.0), e)
+    return _let(F.floor(F.log2(x)), lambda e: F.greatest(F.when(two(e) > x, e - 1).when(two(e + 1) <= x, e + 1).otherwise(e), F.lit(-1022)))
 
 
 def spacing(x) -> Column:
@@ -146,13 +150,15 @@ def nextafter(a, b) -> Column:
     """The number next to a in the direction of b."""
     a, b = _d(a), _d(b)
     size = F.abs(a)
-    e = _exponent(size)
-    out = F.pow(F.lit(2.0), e - 52)
-    inward = F.when((F.pow(F.lit(2.0), e) == size) & (e > -1022), out / 2).otherwise(out)
-    up = b > a
-    moved = F.when(up == (a > 0), size + out).otherwise(size - inward)
-    largest = F.lit(1.7976931348623157e308)
-    finite = F.when(a == 0, F.when(up, F.lit(5e-324)).otherwise(F.lit(-5e-324))).when(size == INF, F.when(a > 0, largest).otherwise(-largest)).otherwise(F.when(a > 0, moved).otherwise(-moved))
+
+    def moved(e: Column) -> Column:
+        step = F.pow(F.lit(2.0), e - 52)
+        inward = F.when((F.pow(F.lit(2.0), e) == size) & (e > -1022), step / 2).otherwise(step)
+        return F.when((b > a) == (a > 0), size + step).otherwise(size - inward)
+
+    least = F.when(b > a, F.lit(5e-324)).otherwise(F.lit(-5e-324))
+    next_size = F.when(size == INF, F.lit(1.7976931348623157e308)).otherwise(_let(_exponent(size), moved))
+    finite = F.when(a == 0, least).when(a > 0, next_size).otherwise(-next_size)
     return _nulls(F.when(_nan(a, b), F.lit(NAN)).when(a == b, b).otherwise(finite), a, b)
 
 
