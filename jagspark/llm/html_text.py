@@ -48,8 +48,9 @@ _MARKS = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^
 _WORD = re.compile(r"[a-z]+")
 
 
-def _marked(attributes: str) -> tuple[bool, bool]:
-    """(no main text, role main) by class, id and role."""
+def _marked(attributes: str, inside: bool) -> tuple[bool, bool]:
+    """(no main text, role main) by class, id and role. Inside an article a header holds its title."""
+    words = OUT_WORDS - {"header"} if inside else OUT_WORDS
     out = main = False
     for name, *values in _MARKS.findall(attributes):
         value = "".join(values).lower()
@@ -57,7 +58,7 @@ def _marked(attributes: str) -> tuple[bool, bool]:
             main |= "main" in value.split()
             out |= not OUT_ROLES.isdisjoint(value.split())
         else:
-            out |= not OUT_WORDS.isdisjoint(_WORD.findall(value))
+            out |= not words.isdisjoint(_WORD.findall(value))
     return out, main
 
 
@@ -117,7 +118,7 @@ def parse(html: str | None) -> list[tuple[int, str]]:
         if skip:
             skip_depth += name == skip
             continue
-        out, is_main = _marked(attributes) if attributes else (False, False)
+        out, is_main = _marked(attributes, article > 0) if attributes else (False, False)
         if name in ("article", "main", "body", "html"):
             out = out and name == "article"
         if name in OUT or out or name == "header" and not article:

@@ -55,6 +55,7 @@ PAGES = [
     ("no tags &lt;at&gt; all", "no tags <at> all"),
     ("<div role='navigation'>x</div><header>h</header><p>b</p>", "b"),
     ("<article><p class=ad>buy<p>stay</article>", "stay"),
+    ("<div class='page-header'>h</div><article><div class='entry-header'><h1>Title</h1></div><section id='comments'>c</section><p>x</article>", "Title x"),
     (None, ""),
     ("", ""),
     ("<article></article>", ""),
