@@ -136,32 +136,11 @@ def stars(prints: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.n
     return prints[at], prints[label[at]]
 
 
-def candidates(nodes: np.ndarray, left: np.ndarray, right: np.ndarray, whole: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs to check, in proportion to the rows: all pairs of components of up to `whole` rows; in larger ones each row with its
-    component's hub (most linked row) and with the least linked row beside it."""
-    _, root = _labels(len(nodes), left, right)
-    degree = np.bincount(left, minlength=len(nodes)) + np.bincount(right, minlength=len(nodes))
-    small = np.bincount(root, minlength=len(nodes))[root] <= whole
-    order = np.lexsort((np.arange(len(nodes)), -degree, root))
-    first = np.concatenate([[True], root[order][1:] != root[order][:-1]]) if len(order) else np.zeros(0, bool)
-    hub = np.zeros(len(nodes), np.int64)
-    hub[root[order][first]] = order[first]
-    far = np.flatnonzero(~small)
-    near = np.full(len(nodes), len(nodes))
-    np.minimum.at(near, left, right)
-    np.minimum.at(near, right, left)
-    inside = small[left]
-    a = np.concatenate([left[inside], far, far])
-    b = np.concatenate([right[inside], hub[root[far]], near[far]])
-    apart = a != b
-    return nodes[a[apart]], nodes[b[apart]]
-
-
-def _split(prints: np.ndarray, nodes: np.ndarray, free: int, most: int, references: np.ndarray, make=None) -> list[tuple[np.ndarray, np.ndarray]]:
+def _split(prints: np.ndarray, nodes: np.ndarray, free: int, most: int, references: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links of one large cell: it splits by most + 1 blocks of its free bits, one of which a linking pair shares."""
     bits = [b for b in range(64) if free >> b & 1]
     if len(prints) <= CELL_ROWS or len(bits) <= most:
-        return [(make or stars)(nodes, *cell_pairs(np.zeros(len(prints), np.int8), prints, most, references))]
+        return [stars(nodes, *cell_pairs(np.zeros(len(prints), np.int8), prints, most, references))]
     out = []
     for i in range(most + 1):
         block = sum(1 << b for b in bits[i :: most + 1])
@@ -170,33 +149,28 @@ def _split(prints: np.ndarray, nodes: np.ndarray, free: int, most: int, referenc
         cuts = np.flatnonzero(np.diff(key[order])) + 1
         for part in np.split(order, cuts):
             if len(part) > 1:
-                out += _split(prints[part], nodes[part], free & ~block, most, references, make)
+                out += _split(prints[part], nodes[part], free & ~block, most, references)
     return out
 
 
-def links(prints: DataFrame, most: int = MOST, agree: int = AGREE, node: str | None = None) -> DataFrame:
-    """(a, b): pairs of distinct fingerprints that make the same components as all linking pairs.
-
-    node: a column that tells rows apart instead of the fingerprint; then candidates come for a later check (see `candidates`).
-    """
+def links(prints: DataFrame, most: int = MOST, agree: int = AGREE) -> DataFrame:
+    """(a, b): pairs of distinct fingerprints that make the same components as all linking pairs."""
     every = masks(most, agree)
     signed = [m - (1 << 64) if m >> 63 else m for m in every]
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("print").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(signed)]))
-    own = [node] if node else []
-    dealt = prints.select("print", *own, cells.alias("cell")).select("cell.choice", "cell.bits", "print", *own)
+    dealt = prints.select("print", cells.alias("cell")).select("cell.choice", "cell.bits", "print")
     dealt = dealt.repartition("choice", "bits").sortWithinPartitions("choice", "bits")
     references = pivots()
 
-    def look(choice: np.ndarray, bits: np.ndarray, prints: np.ndarray, nodes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    def look(choice: np.ndarray, bits: np.ndarray, prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         starts = np.concatenate([[True], (choice[1:] != choice[:-1]) | (bits[1:] != bits[:-1])])
         cell = np.cumsum(starts)
         size = np.bincount(cell)[cell]
         small = (size > 1) & (size <= CELL_ROWS)
-        make = candidates if node else stars
-        out = [make(nodes[small], *cell_pairs(cell[small], prints[small], most, references))] if small.any() else []
+        out = [stars(prints[small], *cell_pairs(cell[small], prints[small], most, references))] if small.any() else []
         for c in np.unique(cell[size > CELL_ROWS]):
             rows = cell == c
-            out += _split(prints[rows], nodes[rows], ~every[int(choice[rows][0])] & ((1 << 64) - 1), most, references, make)
+            out += _split(prints[rows], prints[rows], ~every[int(choice[rows][0])] & ((1 << 64) - 1), most, references)
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,8 +182,8 @@ def links(prints: DataFrame, most: int = MOST, agree: int = AGREE, node: str | N
                     yield pa.record_batch([pa.array(np.maximum(a.view(np.int64), b.view(np.int64))), pa.array(np.minimum(a.view(np.int64), b.view(np.int64)))], names=["a", "b"])
 
         def ready(columns):
-            choice, bits, prints, *nodes = columns
-            return choice, bits, prints.view(np.uint64), (nodes[0] if nodes else prints).view(np.uint64)
+            choice, bits, prints = columns
+            return choice, bits, prints.view(np.uint64)
 
         for batch in batches:
             held.append([c.to_numpy() for c in batch.columns])
@@ -285,33 +259,100 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(some.any(1), ((a == b) & some).sum(1) / np.maximum(1, some.sum(1)), 1.0)
 
 
+#: A family larger than this is compared block by block.
+BLOCK_ROWS = 1000
+BLOCK_BYTES = 8 << 20
+
+
+def _digest(text: bytes) -> int:
+    return xxhash.xxh64_intdigest(b" ".join(text.lower().split()))
+
+
+def joined(prints: np.ndarray, texts: list[bytes], block: np.ndarray, most: int, shingle: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs that make the same components as all pairs within `most` bits whose similarity is `least` or more: of two blocks, the
+    pairs across them; of one, all. Rows that are joined already are not compared again."""
+    label, out = np.arange(len(prints)), []
+    measure = Measure(texts, shingle)
+    two = block.min() != block.max()
+    for row in range(len(prints) - 1):
+        after = np.arange(row + 1, len(prints))
+        near = (np.bitwise_count(prints[row] ^ prints[after]) <= most) & (label[after] != label[row])
+        if two:
+            near &= block[after] != block[row]
+        near = after[near]
+        if len(near):
+            for other in near[measure(row, near) >= least]:
+                if label[other] != label[row]:
+                    out.append((row, other))
+                    label[label == label[other]] = label[row]
+    a, b = np.array(out, np.int64).reshape(-1, 2).T
+    return a, b
+
+
+class Measure:
+    """Similarity of one of the texts with others."""
+
+    def __init__(self, texts: list[bytes], width: int):
+        self.sketches = np.array([np.frombuffer(sketch(t, width), "<u2") for t in texts])
+
+    def __call__(self, row: int, others: np.ndarray) -> np.ndarray:
+        return similarity(self.sketches[row][None], self.sketches[others])
+
+
 def near_copies(docs: DataFrame, width: int = 2, most: int = 7, agree: int = 2, shingle: int = 5, least: float = 0.7) -> DataFrame:
     """doc_id, node, component_id of every row: texts linked by fingerprints within `most` bits whose sketches of `shingle`-word shingles then
-    agree in a share of `least`, a little under the similarity sought, since the estimate's error is about 0.04."""
+    agree in a share of `least`, a little under the similarity sought, since the estimate's error is about 0.04.
+
+    The links alone make families, and every link inside a family is checked where its rows meet: a family of any size is dealt to pairs of
+    its blocks, and a task passes on a tree's worth of its links, so that rows stay in proportion to the table."""
     small_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            prints = pa.array(np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64))
-            yield pa.record_batch([batch.column(0), prints, pa.array([sketch(t, shingle) for t in texts], pa.binary())], names=["doc_id", "print", "sketch"])
+            prints, nodes = (pa.array(np.array([f(t) for t in texts], np.uint64).view(np.int64)) for f in (lambda t: fingerprint(t, width), _digest))
+            yield pa.record_batch([batch.column(0), prints, nodes, pa.array([len(t) for t in texts], pa.int64())], names=["doc_id", "print", "node", "size"])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            yield pa.record_batch([pa.array(np.array([_digest(t) for t in texts], np.uint64).view(np.int64)), pa.array(texts, pa.binary())], names=["node", "text"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = {}, None
+
+        def found() -> pa.RecordBatch:
+            nodes, (prints, texts, block) = np.array(list(held), np.int64), zip(*held.values(), strict=True)
+            a, b = (nodes[x] for x in joined(np.array(prints, np.int64).view(np.uint64), texts, np.array(block), most, shingle, least))
+            return pa.record_batch([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+
         for batch in batches:
-            if len(batch):
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, BINS) for i in (2, 3))
-                stay = pa.array(similarity(x, y) >= least)
-                yield pa.record_batch([batch.column(0).filter(stay), batch.column(1).filter(stay)], names=["a", "b"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, print long, sketch binary")
-    rows = stored(rows.withColumn("node", F.xxhash64("print", "sketch")), "near-prints")
-    nodes = stored(rows.groupBy("node").agg(F.min("print").alias("print"), F.min("doc_id").alias("least")), "near-nodes")
-    sketches = rows.select("node", "sketch").dropDuplicates(["node"])
-    pairs = stored(links(nodes.select("print", "node"), most, agree, node="node"), "near-candidates")
-    left = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
-    both = left.join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b").select("a", "b", "x", "y")
-    roots = stars_of(both.mapInArrow(check, "a long, b long"))
-    named = stored(nodes.join(roots.withColumnRenamed("a", "node"), "node", "left").select("node", "least", F.coalesce("b", "node").alias("root")), "near-classes")
+            for family, i, j, node, print_, block, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (family, i, j):
+                    if len(held) > 1:
+                        yield found()
+                    held, at = {}, (family, i, j)
+                held[node] = (print_, text, block)
+        if len(held) > 1:
+            yield found()
+
+    rows = stored(docs.mapInArrow(run, "doc_id long, print long, node long, size long"), "near-prints")
+    nodes = stored(rows.groupBy("node").agg(F.min("print").alias("print"), F.min("doc_id").alias("least"), F.max("size").alias("size")), "near-nodes")
+    roots = stars_of(links(nodes.select("print").distinct(), most, agree)).withColumnRenamed("a", "print")
+    placed = nodes.join(roots, "print", "left").select("node", "print", "least", "size", F.coalesce("b", "print").alias("family"))
+    sizes = placed.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1")
+    sizes = sizes.select("family", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    members = placed.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    members = stored(members.select("family", "blocks", "block", "node", "print", "least"), "near-members")
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    texts = docs.select(key("doc_id").alias("key"), "text").join(members.select(key("least").alias("key")).distinct(), "key", "left_semi")
+    texts = texts.select("text").mapInArrow(again, "node long, text binary").join(members, "node")
+    dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "print", "block", "text")
+    dealt = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    same = stars_of(dealt.mapInArrow(check, "a long, b long"))
+    named = stored(nodes.join(same.withColumnRenamed("a", "node"), "node", "left").select("node", "least", F.coalesce("b", "node").alias("root")), "near-classes")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.select("doc_id", "node").join(named.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "node", "component_id")
 

@@ -172,3 +172,20 @@ def test_sketches_estimate_similarity():
     true = len(cut(words) & cut(other)) / len(cut(words) | cut(other))
     a, b = (np.frombuffer(S.sketch(" ".join(w).encode()), "<u2")[None] for w in (words, other))
     assert abs(S.similarity(a, b)[0] - true) < 0.12
+
+
+def test_copies_are_found_among_many_texts_that_share_a_passage(spark):
+    rng = random.Random(4)
+    own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, rows = own(140), []
+    for i in range(90):
+        words = own(40)
+        rows += [(i, " ".join(words + passage)), (1000 + i, " ".join(["changed", *words[1:]] + passage))]
+    old, S.BLOCK_ROWS = S.BLOCK_ROWS, 50
+    try:
+        found = {r.doc_id: r.component_id for r in S.near_copies(documents(spark, rows)).collect()}
+    finally:
+        S.BLOCK_ROWS = old
+    prints = {i: S.fingerprint(t.encode(), 2) for i, t in rows}
+    linked = [i for i in range(90) if (prints[i] ^ prints[1000 + i]).bit_count() <= 7]
+    assert len(linked) > 80 and all(found[i] == found[1000 + i] for i in linked)
