@@ -28,8 +28,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the smallest doc_id.
 
     Near copies are texts whose five-word shingles agree to four fifths or more. SimHash at op1's 3 bits of three-word shingles finds one
-    such pair in ten; fingerprints of two-word shingles within 7 bits find five in six (figures in the README), and sketches of the
-    five-word shingles then leave out texts that just share a passage.
+    such pair in ten; fingerprints of two-word shingles within 7 bits find five in six (figures in the README), and the similarity of
+    the whole texts' five-word shingles then decides each link.
     """
     return simhash.keep_one_of_each(docs, simhash.near_copies(docs))
 

@@ -189,3 +189,24 @@ def test_copies_are_found_among_many_texts_that_share_a_passage(spark):
     prints = {i: S.fingerprint(t.encode(), 2) for i, t in rows}
     linked = [i for i in range(90) if (prints[i] ^ prints[1000 + i]).bit_count() <= 7]
     assert len(linked) > 80 and all(found[i] == found[1000 + i] for i in linked)
+
+
+def test_near_copies_merge_at_the_true_similarity_only(spark):
+    rng = random.Random(8)
+    cut = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    rows = []
+    for i in range(40):  # 2 to 11 changed words: similarity 0.94 to 0.69
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        copy = list(words)
+        for at in range(2 + i % 10):
+            copy[10 + 25 * at] = f"x{rng.randrange(10**6)}"
+        rows += [(i, " ".join(words)), (100 + i, " ".join(copy))]
+    found = {r.doc_id: r.component_id for r in S.near_copies(documents(spark, rows)).collect()}
+    text, seen = dict(rows), set()
+    for i in range(40):
+        a, b = text[i], text[100 + i]
+        near = (S.fingerprint(a.encode(), 2) ^ S.fingerprint(b.encode(), 2)).bit_count() <= 7
+        alike = 10 * len(cut(a) & cut(b)) >= 8 * len(cut(a) | cut(b))
+        assert (found[i] == found[100 + i]) == (near and alike)
+        seen.add((near, alike))
+    assert {(True, True), (True, False)} <= seen
