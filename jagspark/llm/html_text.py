@@ -46,6 +46,7 @@ OUT_WORDS = frozenset(
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _MARKS = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_ABOUT = ("no-", "has-", "with-")
 
 
 def _marked(attributes: str, inside: bool) -> tuple[bool, bool]:
@@ -58,7 +59,8 @@ def _marked(attributes: str, inside: bool) -> tuple[bool, bool]:
             main |= "main" in value.split()
             out |= not OUT_ROLES.isdisjoint(value.split())
         else:
-            out |= not words.isdisjoint(_WORD.findall(value))
+            # has-sidebar or no-comments tells of the page or a neighbour, not of the element
+            out |= any(not words.isdisjoint(_WORD.findall(x)) for x in value.split() if not x.startswith(_ABOUT))
     return out, main
 
 

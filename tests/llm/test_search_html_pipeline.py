@@ -126,3 +126,9 @@ def test_pipeline_stages(spark, tmp_path):
     assert stages["bpe"] == stages["mixing"]
     assert all(r.decoded.replace("</w> ", " ").replace(" ", "").replace("</w>", "") == r.text.replace(" ", "") for r in docs.limit(5).collect())
     assert C.run(spark, str(tmp_path)).count() == len(stages["bpe"])
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-comments", "post with-share"])
+def test_class_names_that_tell_of_something_else_skip_nothing(name):
+    assert H.parse(f"<div class='{name}'><article>kept</article></div>") == [(H.ARTICLE, "kept")]
+    assert H.parse(f"<div class='{name} sidebar'>gone</div>") == [(H.SKIPPED, "gone")]
