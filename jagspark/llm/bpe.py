@@ -4,7 +4,8 @@ A word becomes a doubly linked list of symbols; a heap holds the ranks of the me
 no longer fit the list (stale ones) are skipped. Decoding joins the vocabulary strings of the ids. The vocabulary is a tokenizers
 JSON file with a BPE model (parameter `path`); nothing is trained.
 
-Defined results: a null or empty text has no tokens and decodes to the empty text; symbols outside the vocabulary are left out, as
+Defined results: a null or empty text has no tokens and decodes to the empty text, an empty table gives an empty result; of merges with equal
+rank (the same pair at several places) the leftmost is first; a very long text is one list of its ids, a very long pre-token costs n log n; symbols outside the vocabulary are left out, as
 the library does without an unknown token; the added special tokens are found in the raw text; repeated rows give repeated
 results; other columns pass through `encoded`.
 
@@ -18,6 +19,7 @@ import functools
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from itertools import chain
@@ -43,10 +45,37 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+#: The letters and digits that Unicode 16, the version of the tokenizer's \p{L} and \p{N}, has and Unicode 15.1 has not.
+ADDED = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x116D0, 0x116E3), (0x11BC0, 0x11BE0), (0x11BF0, 0x11BF9), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16130, 0x16139), (0x16D40, 0x16D6C),
+    (0x16D70, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5FA),
+]
+#: Fixed values: (first and last capital, distance to the small letter) of the pairs that the tokenizer lower-cases and Unicode 15.1 has not.
+CAPITALS = [
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1),
+    (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B),
+]
+#: Marks whose combining class is younger than the tokenizer's NFC (Unicode 9), to which they are letters like any other, and the
+#: second half of the one younger composition.
+MARKS = [
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715),
+    (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50),
+    (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930), (0x1193D, 0x1193E), (0x11943, 0x11943),
+    (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97),
+    (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+]
+_LOWER = {c: c + by for a, b, by in CAPITALS for c in range(a, b + 1)}
+_HAS_CAPITAL = re.compile("[" + "".join(map(chr, _LOWER)) + "]").search
+_AT_MARKS = re.compile("([" + "".join(chr(c) for a, b in MARKS for c in range(a, b + 1)) + "]+)")
+
+
 @functools.cache
 def newer_letters() -> frozenset[str]:
     """Code points that the regex module's Unicode version calls letters or digits and the tokenizer's older one leaves unassigned."""
-    none = "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn")
+    known = {c for a, b in ADDED for c in range(a, b + 1)}
+    none = "".join(chr(c) for c in range(0x110000) if c not in known and unicodedata.category(chr(c)) == "Cn")
     return frozenset(regex.findall(r"[\p{L}\p{N}]", none))
 
 
@@ -125,24 +154,35 @@ class Codec:
                 heapq.heappush(heap, rank << 32 | left)
         return [i for i in ids if i >= 0]
 
+    def normal(self, text: str) -> str:
+        """The text as the vocabulary's normaliser leaves it, white space aside."""
+        if not text.isascii():
+            if _AT_MARKS.search(text):
+                parts = _AT_MARKS.split(text)
+                parts[::2] = [unicodedata.normalize("NFC", x) for x in parts[::2]]
+                text = "".join(parts)
+            else:
+                text = unicodedata.normalize("NFC", text)
+            if _HAS_CAPITAL(text):
+                text = text.translate(_LOWER)
+        # letter by letter: a capital sigma becomes the same small letter everywhere
+        return text.lower() if "Σ" not in text else "".join(map(str.lower, text))
+
     def words(self, text: str) -> list[str]:
         """Pre-tokens of a text without special tokens."""
-        text = unicodedata.normalize("NFC", text)
-        # letter by letter: a capital sigma becomes the same small letter everywhere
-        text = text.lower() if "Σ" not in text else "".join(map(str.lower, text))
-        return self.split.findall(text)
+        return self.split.findall(self.normal(text))
 
     def _plain(self, text: str) -> list[int]:
         """Ids of a text without special tokens."""
-        words = self.words(text)
         try:
-            return list(chain.from_iterable(map(self.encodings.__getitem__, words)))
+            return list(chain.from_iterable(map(self.encodings.__getitem__, self.words(text))))
         except _Newer:  # rare: such letters stand in as private-use marks while the text is split
+            text = self.normal(text)
             odd = sorted(newer_letters().intersection(text))
             spare = (c for c in range(0xF0000, 0x110000) if c & 0xFFFE != 0xFFFE and chr(c) not in text)
             marks = dict(zip(map(ord, odd), spare, strict=False))
             back = {mark: c for c, mark in marks.items()}
-            return [i for w in self.words(text.translate(marks)) for i in self.encode_word(w.translate(back))]
+            return [i for w in self.split.findall(text.translate(marks)) for i in self.encode_word(w.translate(back))]
 
     def encode(self, text: str | None) -> list[int]:
         if not text:

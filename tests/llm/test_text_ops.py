@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -112,6 +113,19 @@ def test_bpe_equals_the_library_on_any_text(text):
     assert codec.encode(text) == theirs.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_equals_the_library_on_every_code_point():
+    codec, theirs = _both()
+    # every assigned plane, with its unassigned places, and the private-use marks that stand in for newer letters
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and not 0x34000 <= c < 0xE0000 and not 0xE1000 <= c < 0x10FF00]
+    marks = [chr(c) for a, b in bpe.MARKS for c in range(a, b + 1)]
+    looks = [[":" + c + "a" + c + "\u0316" for c in every[i : i + 5000]] for i in range(0, len(every), 5000)]
+    looks += [["a" + x + y + "\u0301" for y in marks] for x in marks[::9]] + [[unicodedata.normalize("NFD", c) for c in every if unicodedata.normalize("NFD", c) != c]]
+    for items in looks:
+        text = " ".join(items)
+        if codec.encode(text) != theirs.encode(text, add_special_tokens=False).ids:
+            assert [x for x in items if codec.encode(x) != theirs.encode(x, add_special_tokens=False).ids] == []
+
+
 def _both(made=[]):
     if not made:
         from tokenizers import Tokenizer
