@@ -8,7 +8,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space of every contract here: [\x20\x09-\x0D].
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
@@ -70,6 +71,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_key(doc_id: Column, sha: Column) -> Column:
+    """One string for a row's doc_id (null: 'null') and the digest of its text."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), sha)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """A column name like `name` that none of columns has."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
+def one_of_each(docs: DataFrame, gone: DataFrame, repeated: DataFrame, sha: Column | None = None, size: Column | None = None) -> DataFrame:
+    """docs without the rows whose key is in `gone`, and one row for each key in `repeated`, with docs' columns.
+
+    The key is text_key of doc_id and `sha` (else the SHA-256 of the text). Of rows that share a key the one of greatest `size` stays, then the
+    one whose columns come first as JSON, so that reruns agree; rows that share that too are alike.
+    """
+    columns = docs.columns
+    key = free_name(columns, "key")
+    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256) if sha is None else sha
+    left = docs.withColumn(key, text_key(F.col("doc_id"), sha)).join(gone.select(F.col("key").alias(key)), key, "left_anti")
+    repeated = stored(repeated.select(F.col("key").alias(key)).distinct(), "repeated-keys")
+    if repeated.isEmpty():
+        return left.select(*columns)
+    order = F.struct(-(F.lit(0) if size is None else size), F.sha2(F.to_json(F.struct(*columns)), 256))
+    several = left.join(repeated, key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*columns), order).alias("row"))
+    return left.join(repeated, key, "left_anti").select(*columns).unionAll(several.select("row.*"))
+
+
 def byte_column(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; null counts as empty. offsets has len + 1 entries and starts at 0."""
     if isinstance(column, pa.ChunkedArray):

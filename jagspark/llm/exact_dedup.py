@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, small_batches, stored, table
+from .common import WHITE, one_of_each, small_batches, stored, table, text_key
 
 BROADCAST_HASHES = 4_000_000
 
@@ -199,17 +199,15 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with docs' columns. Of rows that repeat both id and text, one stays.
+    """The rows of docs that stay, with docs' columns. Of rows that repeat both id and normalised text, the longest stays, then the one whose
+    columns come first as JSON.
 
     The dropped keys, far fewer than the rows, are what the texts are joined with.
     """
-    key = lambda sha: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), sha)
-    keyed = stored(groups(docs).select(key(F.col("sha")).alias("__key"), "kept").groupBy("__key").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")), "dedup-keys")
+    keyed = groups(docs).select(text_key(F.col("doc_id"), F.col("sha")).alias("key"), "kept").groupBy("key").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    keyed = stored(keyed, "dedup-keys")
     sha = F.sha2(F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\x0c\r", "").cast("binary"), 256)
-    left = docs.withColumn("__key", key(sha)).join(keyed.where("not kept").select("__key"), "__key", "left_anti")
-    if not keyed.where("kept and n > 1").isEmpty():
-        left = left.dropDuplicates(["__key"])
-    return left.select(*docs.columns)
+    return one_of_each(docs, keyed.where("not kept"), keyed.where("kept and n > 1"), sha, F.length(F.coalesce("text", F.lit(""))))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
