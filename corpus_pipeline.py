@@ -3,8 +3,11 @@
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
 as the next one's docs. All but the last return the columns of documents.
 
-Every stage works on all rows that its predecessor kept and inherits its operator's defined results for nulls, empty and long texts,
-ties, repeated rows, empty tables and extra columns (see the operators' docstrings). After mixing, a document's row may come twice.
+Every stage works on all rows that its predecessor kept. Defined results: a null text counts as empty, and empty texts are scored, deduplicated,
+mixed (size 0) and encoded (no ids) like any other; a null doc_id is a document of its own; different texts that share a doc_id are different
+documents; of rows that repeat both, one stays, the same on each run; ties go to the smallest doc_id; very long texts are read whole; an empty
+table gives an empty result with the same columns; extra columns pass through, whatever their names, but for token_ids and decoded, which the last
+stage sets. After mixing, a document's row may come twice.
 """
 
 from __future__ import annotations
@@ -27,9 +30,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the smallest doc_id.
 
-    Near copies are texts whose five-word shingles agree to four fifths or more. SimHash at op1's 3 bits of three-word shingles finds one
-    such pair in ten; fingerprints of two-word shingles within 7 bits find five in six (figures in the README), and the similarity of
-    the whole texts' five-word shingles then decides each link.
+    Near copies are texts whose five-word shingles agree to four fifths or more. One fingerprint within op1's 3 bits finds one such pair in
+    ten; eight fingerprints of the distinct words, each within 3 bits, propose nearly all (figures in the README), and the similarity of the
+    whole texts' five-word shingles then decides each link.
     """
     return simhash.keep_one_of_each(docs, simhash.near_copies(docs))
 
