@@ -60,6 +60,18 @@ class EliasFano:
             value |= part & np.uint64((1 << self.width) - 1)
         return value
 
+    def search(self, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """The first place in [low, high) whose value is `wanted` or more, else high; each has a range of its own."""
+        low, high = low.copy(), high.copy()
+        active = np.flatnonzero(low < high)
+        while len(active):
+            middle = (low[active] + high[active]) >> 1
+            less = self.access(middle) < wanted[active]
+            low[active[less]] = middle[less] + 1
+            high[active[~less]] = middle[~less]
+            active = active[low[active] < high[active]]
+        return low
+
     def arrays(self, name: str) -> dict[str, np.ndarray]:
         return {f"{name}.size": np.array([self.n, self.width], np.int64), f"{name}.low": self.low, f"{name}.high": self.high, f"{name}.ones": self.ones}
 

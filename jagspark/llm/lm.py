@@ -4,114 +4,180 @@ Tokens are a text's words, A-Z lower-cased, then one end; the end is also the fi
 smoothing over add-one unigrams: P(v) = (c(v) + 1) / (N + V + 1) and P(v | u) = (c(uv) + K P(v)) / (c(u) + K); both sum to one over the
 vocabulary and the unknown word. All counts cover every training row.
 
-Level 1 holds the words, numbered in the order of their 64-bit hashes, with their cumulative counts; level 2 holds, for each word as
-context, its successors: a monotone pointer per context into one non-decreasing sequence of successors, and 8-bit codes of the
-smoothed probabilities. Pointers, successors and cumulative counts are Elias-Fano sequences in files that workers
-memory-map; a successor is looked up by a search within its context's range.
+Level 1 holds the words, numbered in the order of 128-bit keys (BLAKE2b), with their cumulative counts; level 2 holds, for each word as
+context, its successors: a monotone pointer per context into one non-decreasing sequence of successors, and 16-bit codes of the
+smoothed probabilities (steps of 0.0002). Keys' first halves, pointers, successors and cumulative counts are Elias-Fano sequences in files
+that workers memory-map; a successor is looked up by a search within its context's range.
 
 Defined results: a null or empty text is the end alone; a null doc_id is not held out; without any training row N = V = 0 and every token has
-probability 1; repeated rows count and are scored each; an empty table gives an empty result; other columns are ignored.
-
-At scale: two counting passes send each owner sorted distinct keys with counts, packed, combined per chunk before the shuffle; an
-owner holds a range of words (or of contexts, and for owners with frequent contexts a range of successors too, so that a word with a third of all
-tokens is split). The files grow with the corpus (about 9 bytes a word and 4 bytes a distinct bigram) and lie in the shared
-folder; workers map them and keep none in memory. Scoring is a map without a shuffle.
+probability 1; repeated rows count and are scored each; a very long text, or word, is read whole; an empty table gives an empty result; other
+columns are ignored.
+
+At scale: two counting passes send each owner sorted distinct keys with counts, packed, combined per chunk before the shuffle. The number of
+owners follows from the bytes of text (OWNER_BYTES each); an owner holds a range of words (or of contexts, and for owners with frequent
+contexts a range of successors too, so that a word with a third of all tokens is split) and merges messages as they stream in. The files grow
+with the corpus (about 13 bytes a word and 5 bytes a distinct bigram) and lie in the shared folder; workers map them and keep none in
+memory. Scoring is a map without a shuffle.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, byte_column, new_path, small_batches, span_hashes, stored, table, words
+from .common import new_path, small_batches, table
 from .elias_fano import EliasFano, load, save
 
 #: Weight of the unigram distribution in a context, in tokens.
 PRIOR = 64.0
 CHUNK_TOKENS = 2_000_000
-#: Codes 0-255 stand for log10 probabilities from 0 down to LEAST.
-LEAST = -12.0
-END = np.uint64(0x7E57A11ED0D0CAFE)
+CHUNK_WORDS = 500_000
+#: Codes 0 to CODES stand for log10 probabilities from 0 down to LEAST.
+LEAST, CODES = -12.0, (1 << 16) - 1
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(token hashes of all rows, number of tokens per row); each row ends with END."""
-    data, offsets = byte_column(column)
-    out, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for i, j in blocks(offsets):
-        part = LOWER[data[offsets[i] : offsets[j]]]
-        starts, ends, counts = words(part, offsets[i : j + 1] - offsets[i])
-        sizes.append(counts + 1)
-        found = np.full(len(starts) + j - i, END)
-        found[np.arange(len(starts)) + np.repeat(np.arange(j - i), counts)] = span_hashes(part, starts, ends)
-        out.append(found)
-    return np.concatenate(out), np.concatenate(sizes)
+class _Index(dict):
+    """Word -> place, in the order of first sight; the end is the empty word, which no text holds."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self)
+        return place
+
+
+class Chunk:
+    """Rows together: `at`, the place of every token's word among the distinct words; `sizes`, tokens per row; `kept`, a column of the rows.
+    Words are told apart by their bytes here and by 128 bits of BLAKE2b elsewhere."""
 
+    def __init__(self):
+        self.index, self._at, self._sizes, self._kept, self.count = _Index({b"": 0}), [], [], [], 0
 
-def chunks(batches: Iterator[pa.RecordBatch], text: int, keep: int | None = None):
-    """(tokens, sizes, kept column) of many batches together, CHUNK_TOKENS or more but for the last. The token before a row's first is the
-    end of the row before it, or END where it is the chunk's first."""
-    held, count = [], 0
+    def add(self, column: pa.Array, kept: pa.Array | None) -> None:
+        of = self.index.__getitem__
+        for text in column.cast(pa.binary()).to_pylist():
+            words = text.lower().split() if text else []  # of bytes: A-Z and [\\x20\\x09-\\x0D] only
+            words.append(b"")
+            self._at.append(np.fromiter(map(of, words), np.int64, len(words)))
+            self._sizes.append(len(words))
+        self._kept.append(kept)
+        self.count = sum(self._sizes)
 
-    def joined():
-        return *(np.concatenate(x) for x in list(zip(*held, strict=True))[:2]), pa.concat_arrays([x[2] for x in held]) if keep is not None else None
+    def full(self) -> bool:
+        return self.count >= CHUNK_TOKENS or len(self.index) >= CHUNK_WORDS
 
+    def done(self) -> Chunk:
+        """The same with words in the order of their keys (`high`, `low`)."""
+        keys = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in self.index)
+        high, low = np.frombuffer(keys, ">u8").astype(np.uint64).reshape(-1, 2).T
+        order = np.lexsort((low, high))
+        self.high, self.low = high[order], low[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.at, self.sizes, self.end = place[np.concatenate(self._at)], np.array(self._sizes, np.int64), place[0]
+        self.kept = pa.concat_arrays(self._kept) if self._kept[0] is not None else None
+        return self
+
+
+def chunks(batches: Iterator[pa.RecordBatch], text: int, keep: int | None = None) -> Iterator[Chunk]:
+    """Many batches together, until they hold CHUNK_TOKENS tokens or CHUNK_WORDS distinct words."""
+    held = Chunk()
     for batch in batches:
-        found = tokens(batch.column(text))
-        held.append((*found, batch.column(keep) if keep is not None else None))
-        count += len(found[0])
-        if count >= CHUNK_TOKENS:
-            yield joined()
-            held, count = [], 0
-    if count:
-        yield joined()
+        for i in range(0, len(batch), 100):  # a few texts at a time, so that a chunk ends soon after it is full
+            part = batch.slice(i, 100)
+            held.add(part.column(text), part.column(keep) if keep is not None else None)
+            if held.full():
+                yield held.done()
+                held = Chunk()
+    if held.count:
+        yield held.done()
 
 
 # ---------------------------------------------------------------- messages of sorted keys and counts
 
 
-def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    gaps = np.diff(keys, prepend=np.uint64(0))
-    counts = counts.astype(np.uint32)
-    raw = gaps.view(np.uint8).reshape(-1, 8).T.tobytes() + counts.view(np.uint8).reshape(-1, 4).T.tobytes()
-    return len(keys).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(raw)
+def pack(*columns: np.ndarray) -> bytes:
+    """Whole-number columns of one length, the first sorted: bytes of equal weight together, compressed."""
+    raw = []
+    for i, x in enumerate(columns):
+        x = x.astype(np.uint64)
+        raw.append((np.diff(x, prepend=np.uint64(0)) if not i else x).view(np.uint8).reshape(-1, 8).T.tobytes())
+    return len(columns[0]).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(b"".join(raw))
 
 
-def unpack(message: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpack(message: bytes) -> list[np.ndarray]:
     n = int.from_bytes(message[:8], "little")
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(message[8:]), np.uint8)
-    gaps = np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view(np.uint64).ravel()
-    counts = np.ascontiguousarray(raw[8 * n :].reshape(4, n).T).view(np.uint32).ravel()
-    return np.cumsum(gaps, dtype=np.uint64), counts.astype(np.int64)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(message[8:]), np.uint8).reshape(-1, 8, n)
+    out = [np.ascontiguousarray(x.T).view(np.uint64).ravel() for x in raw]
+    return [np.cumsum(out[0], dtype=np.uint64), *out[1:]]
+
 
+def summed(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows in the order of all columns but the last, equal ones once, the last column summed."""
+    order = np.lexsort(columns[-2::-1])
+    columns = [x[order] for x in columns]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in columns[:-1]], axis=0)
+    first = np.flatnonzero(new)
+    return [*(x[first] for x in columns[:-1]), np.add.reduceat(columns[-1], first)]
 
-def merged(messages) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = (np.concatenate(x) for x in zip(*map(unpack, messages), strict=True))
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts, first)
 
+#: Rows of a message, and rows that an owner gathers before it merges them.
+MESSAGE_ROWS = 8192
+MERGE_ROWS = 1_000_000
 
-def _messages(keys: np.ndarray, counts: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
-    """One row for each owner; keys are sorted, and stay so within an owner."""
+
+def _messages(owner: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Messages to owners; columns are sorted, and stay so within an owner."""
     order = np.argsort(owner, kind="stable")
-    keys, counts, owner = keys[order], counts[order], owner[order]
+    owner, columns = owner[order], [x[order] for x in columns]
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1, [len(owner)]])
-    rows = [(int(owner[a]), pack(keys[a:b], counts[a:b])) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
-    owners, packed = zip(*rows, strict=True)
-    return pa.record_batch([pa.array(owners, pa.int64()), pa.array(packed, pa.binary())], names=["owner", "keys"])
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        pieces = [pack(*(x[i : min(b, i + MESSAGE_ROWS)] for x in columns)) for i in range(a, b, MESSAGE_ROWS)]
+        if pieces:
+            yield pa.record_batch([pa.array([int(owner[a])] * len(pieces), pa.int64()), pa.array(pieces, pa.binary())], names=["owner", "keys"])
+
+
+def _owned(sent: DataFrame, partitions: int, put: Callable[[int, list[np.ndarray]], list[int]], schema: str) -> DataFrame:
+    """What `put` returns for each owner's merged columns. Messages are merged as they stream in, so that a task holds one owner's distinct
+    keys, however many chunks sent them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, rows, out = None, [], 0, []
+
+        def merge():
+            nonlocal held, rows
+            held = [summed([np.concatenate(x) for x in zip(*held, strict=True)])]
+            rows = 0
+
+        for batch in batches:
+            for owner, message in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if owner != at:
+                    if held:
+                        merge()
+                        out.append(put(at, held[0]))
+                    at, held, rows = owner, [], 0
+                held.append(unpack(message.as_py()))
+                rows += len(held[-1][0])
+                if rows >= max(MERGE_ROWS, len(held[0][0])):
+                    merge()
+        if held:
+            merge()
+            out.append(put(at, held[0]))
+        if out:
+            names = [x.split()[0] for x in schema.split(", ")]
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=names)
+
+    return sent.repartition(partitions, "owner").sortWithinPartitions("owner").mapInArrow(run, schema)
 
 
 def owner_of(hashes: np.ndarray, owners: int) -> np.ndarray:
@@ -137,21 +203,27 @@ class Trie:
             self._levels[name] = load(f"{self.path}/{name}")
         return self._levels[name]
 
-    def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number or -1, count) of sorted distinct word hashes: level 1."""
-        owner = owner_of(hashes, len(self.words))
-        number, count = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
+    def numbers(self, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number or -1, count) of sorted distinct words by their keys: level 1."""
+        owner = owner_of(high, len(self.words))
+        number, count = np.full(len(high), -1, np.int64), np.zeros(len(high), np.int64)
         cuts = np.searchsorted(owner, np.arange(len(self.words) + 1))
         for o in range(len(self.words)):
-            own = slice(cuts[o], cuts[o + 1])
-            if cuts[o] == cuts[o + 1] or not self.words[o]:
+            own = np.arange(cuts[o], cuts[o + 1])
+            if not len(own) or not self.words[o]:
                 continue
             level = self._file(f"words-{o}")
-            at = np.minimum(np.searchsorted(level["hashes"], hashes[own]), self.words[o] - 1)
-            known = level["hashes"][at] == hashes[own]
-            sums = EliasFano.of(level, "sums")
-            number[own] = np.where(known, at + self.first[o], -1)
-            count[own] = np.where(known, (sums.access(at + 1) - sums.access(at)).astype(np.int64), 0)
+            highs, sums = EliasFano.of(level, "high"), EliasFano.of(level, "sums")
+            at = highs.search(np.zeros(len(own), np.int64), np.full(len(own), self.words[o]), high[own])
+            while len(own):  # keys that share their first 64 bits are neighbours
+                inside = at < self.words[o]
+                own, at = own[inside], at[inside]
+                same = highs.access(at) == high[own]
+                own, at = own[same], at[same]
+                hit = level["low"][at] == low[own]
+                number[own[hit]] = at[hit] + self.first[o]
+                count[own[hit]] = (sums.access(at[hit] + 1) - sums.access(at[hit])).astype(np.int64)
+                own, at = own[~hit], at[~hit] + 1
         return number, count
 
     def shard(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,13 +255,7 @@ class Trie:
             local = context[own] - self.first[o]
             low, high = pointers.access(local).astype(np.int64), pointers.access(local + 1).astype(np.int64)
             wanted = (local * size + word[own] - first).astype(np.uint64)
-            end, active = high.copy(), np.flatnonzero(low < high)
-            while len(active):
-                middle = (low[active] + high[active]) >> 1
-                less = successors.access(middle) < wanted[active]
-                low[active[less]] = middle[less] + 1
-                high[active[~less]] = middle[~less]
-                active = active[low[active] < high[active]]
+            end, low = high, successors.search(low, high, wanted)
             inside = np.flatnonzero(low < end)
             hit = inside[successors.access(low[inside]) == wanted[inside]] if len(inside) else inside
             code[own[hit]] = level["codes"][low[hit]]
@@ -205,68 +271,70 @@ def trie_of(path: str, head: dict) -> Trie:
     return _trie(path, tuple(head["words"]), tuple(head["subs"]), head["n"])
 
 
+#: Bytes of text for an owner: bounds what a task gathers, whatever the table's size.
+OWNER_BYTES = 32 << 20
+
+
 def train(docs: DataFrame) -> tuple[str, dict]:
     """The folder and head of a model of all rows of docs."""
     spark = docs.sparkSession
     small_batches(spark)
     path = new_path(spark, "lm-trie")
-    owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select("text")
+    owners = max(4, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // OWNER_BYTES))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for values, _, _ in chunks(batches, 0):
-            keys, counts = np.unique(values, return_counts=True)
-            yield _messages(keys, counts, owner_of(keys, owners))
+        for c in chunks(batches, 0):
+            yield from _messages(owner_of(c.high, owners), c.high, c.low, np.bincount(c.at, minlength=len(c.high)))
 
-    def put_words(frame: pd.DataFrame) -> pd.DataFrame:
-        owner = int(frame["owner"].iloc[0])
-        keys, counts = merged(frame["keys"])
-        save(f"{path}/words-{owner}", {"hashes": keys} | EliasFano.build(np.concatenate([[0], np.cumsum(counts)])).arrays("sums"))
-        return pd.DataFrame({"owner": [owner], "n": [len(keys)], "total": [int(counts.sum())]})
+    def put_words(owner: int, columns: list[np.ndarray]) -> list[int]:
+        high, low, counts = columns
+        save(f"{path}/words-{owner}", {"low": low} | EliasFano.build(high).arrays("high") | EliasFano.build(np.concatenate([[0], np.cumsum(counts.astype(np.int64))])).arrays("sums"))
+        return [owner, len(high), int(counts.sum())]
 
     sent = texts.mapInArrow(count_words, "owner long, keys binary")
     # one small row an owner
-    rows = sent.groupBy("owner").applyInPandas(put_words, "owner long, n long, total long").collect()
+    rows = _owned(sent, owners, put_words, "owner long, n long, total long").collect()
     sizes, totals = [0] * owners, [0] * owners
     for r in rows:
         sizes[r["owner"]], totals[r["owner"]] = r["n"], r["total"]
     n = sum(totals)
+    if sum(sizes) >= 1 << 32:
+        raise OverflowError("a bigram's key holds two word numbers of 32 bits")
     head = {"words": sizes, "subs": [max(1, -(-t * owners // max(1, 2 * n))) for t in totals], "n": n}
     most = max(head["subs"]) + 1
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = trie_of(path, head)
-        for values, sizes, _ in chunks(batches, 0):
-            distinct, at = np.unique(values, return_inverse=True)
-            number, _ = trie.numbers(distinct)
-            word = number[at]
-            end = number[np.searchsorted(distinct, END)]
-            context = np.concatenate([[end], word[:-1]])
+        for c in chunks(batches, 0):
+            number, _ = trie.numbers(c.high, c.low)
+            word = number[c.at]
+            context = np.concatenate([[number[c.end]], word[:-1]])
             keys, counts = np.unique(context.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64), return_counts=True)
             owner, sub = trie.shard((keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64))
-            yield _messages(keys, counts, owner * most + sub)
+            yield from _messages(owner * most + sub, keys, counts)
 
-    def put_pairs(frame: pd.DataFrame) -> pd.DataFrame:
-        owner, sub = divmod(int(frame["owner"].iloc[0]), most)
+    def put_pairs(shard: int, columns: list[np.ndarray]) -> list[int]:
+        owner, sub = divmod(shard, most)
         trie = trie_of(path, head)
-        keys, counts = merged(frame["keys"])
+        keys, counts = columns
         local = (keys >> np.uint64(32)).astype(np.int64) - trie.first[owner]
         word = (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
         sums = EliasFano.of(trie._file(f"words-{owner}"), "sums")
         of_context = (sums.access(local + 1) - sums.access(local)).astype(np.int64)
-        p = (counts + PRIOR * (counts_of(trie, word) + 1) / trie.total) / (of_context + PRIOR)
+        p = (counts.astype(np.int64) + PRIOR * (counts_of(trie, word) + 1) / trie.total) / (of_context + PRIOR)
         first, size = trie.span(owner, sub)
         pointers = np.concatenate([[0], np.cumsum(np.bincount(local, minlength=int(trie.words[owner])))])
-        codes = np.clip(np.rint(np.log10(p) * (255 / LEAST)), 0, 255).astype(np.uint8)
+        codes = np.clip(np.rint(np.log10(p) * (CODES / LEAST)), 0, CODES).astype(np.uint16)
         save(f"{path}/pairs-{owner}-{sub}", {"codes": codes} | EliasFano.build(pointers).arrays("pointers") | EliasFano.build(local * size + word - first).arrays("successors"))
-        return pd.DataFrame({"owner": [owner], "sub": [sub]})
+        return [owner, sub]
 
     sent = texts.mapInArrow(count_pairs, "owner long, keys binary")
-    found = {(r["owner"], r["sub"]) for r in sent.groupBy("owner").applyInPandas(put_pairs, "owner long, sub long").collect()}
+    found = {(r["owner"], r["sub"]) for r in _owned(sent, sum(head["subs"]), put_pairs, "owner long, sub long").collect()}
     for owner in range(owners):  # a shard without bigrams is an empty file
         for sub in range(head["subs"][owner]):
             if head["words"][owner] and (owner, sub) not in found:
-                save(f"{path}/pairs-{owner}-{sub}", {"codes": np.zeros(0, np.uint8)} | EliasFano.build(np.zeros(head["words"][owner] + 1)).arrays("pointers") | EliasFano.build(np.zeros(0)).arrays("successors"))
+                save(f"{path}/pairs-{owner}-{sub}", {"codes": np.zeros(0, np.uint16)} | EliasFano.build(np.zeros(head["words"][owner] + 1)).arrays("pointers") | EliasFano.build(np.zeros(0)).arrays("successors"))
     return path, head
 
 
@@ -295,21 +363,20 @@ def scored(docs: DataFrame, model: tuple[str, dict]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = trie_of(path, head)
-        for values, sizes, ids in chunks(batches, 1, 0):
-            distinct, at = np.unique(values, return_inverse=True)
-            number, count = trie.numbers(distinct)
+        for c in chunks(batches, 1, 0):
+            number, count = trie.numbers(c.high, c.low)
+            at, sizes, ids = c.at, c.sizes, c.kept
             base = np.log10((count + 1) / trie.total)
             word, known = number[at], count[at]
-            end = number[np.searchsorted(distinct, END)]
-            context = np.concatenate([[end], word[:-1]])
-            of_context = np.concatenate([[count[np.searchsorted(distinct, END)]], known[:-1]])
+            context = np.concatenate([[number[c.end]], word[:-1]])
+            of_context = np.concatenate([[count[c.end]], known[:-1]])
             score = base[at] + np.log10(PRIOR / (of_context + PRIOR))
             both = np.flatnonzero((word >= 0) & (context >= 0))
             if len(both):
                 keys, back = np.unique(context[both].astype(np.uint64) << np.uint64(32) | word[both].astype(np.uint64), return_inverse=True)
                 code = trie.codes((keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64))[back]
                 hit = code >= 0
-                score[both[hit]] = code[hit] * (LEAST / 255)
+                score[both[hit]] = code[hit] * (LEAST / CODES)
             yield pa.record_batch(
                 [ids, pa.array(sizes, pa.int64()), pa.array(_sums((known > 0).astype(np.int64), sizes)), pa.array(np.full(len(sizes), trie.n)), pa.array(_sums(base[at], sizes)), pa.array(_sums(score, sizes))],
                 names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
