@@ -4,15 +4,17 @@ Distinct pre-tokens are inserted in a trie. A node stands for a prefix; its forw
 into vocabulary pieces, is computed once, from its ancestors' scores, and shared by every pre-token that begins so. A pre-token's
 terminal node holds its token count. A text's count is the sum over its pre-tokens.
 
-The vocabulary is a file of byte strings with ranks (parameter `path`), which must hold all single bytes. A piece of rank r costs
-round(10^6 * ln(r + 2)), Zipf's law in whole numbers, so that sums are exact; the split of least cost counts, of equal ones that with
-fewer tokens.
+The vocabulary is a file of byte strings with ranks (parameter `path`), which must hold all single bytes; it is not trained. The unigram
+probabilities of its pieces are estimated here: a first pass splits every pre-token of every row with Zipf's law as a guess (a piece of rank r
+costs ln(r + 2)) and counts the pieces; p = (count + 1) / (all + V). Costs are round(-10^6 * ln p), whole numbers, so that sums are
+exact; the split of least cost counts, of equal ones that with fewer tokens, then that with the shorter last piece.
 
-Defined results: a null or empty text has no tokens; repeated rows give repeated results; an empty table gives an empty result; other
-columns are ignored.
+Defined results: a null or empty text has no tokens and counts nothing; repeated rows give repeated results and count each; very long texts
+and pre-tokens are read whole; an empty table gives an empty result; other columns are ignored, whatever their names.
 
-At scale: a map with no shuffle; the vocabulary (about 1 MB) is broadcast; a worker's trie and its terminal counts are
-started anew beyond MAX_NODES nodes, which bounds its memory and changes no result.
+At scale: two maps over the rows; between them go piece counts, combined per task, at most one row a piece (V, about 50,000), which is
+also what the driver gets; the vocabulary and the costs (about 2 MB) are broadcast; a worker's trie and its terminal counts are started anew
+beyond MAX_NODES nodes, which bounds its memory and changes no result.
 """
 
 from __future__ import annotations
@@ -20,10 +22,13 @@ from __future__ import annotations
 import base64
 import functools
 import math
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,71 +43,134 @@ def read_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line)}
 
 
-class CountTrie:
-    def __init__(self, ranks: dict[bytes, int]):
-        missing = [b for b in range(256) if bytes([b]) not in ranks]
-        if missing:
-            raise ValueError(f"the vocabulary lacks {len(missing)} single bytes")
-        #: every suffix of a piece; 0 where it is no piece itself
-        self.costs = {piece[i:]: 0 for piece in ranks for i in range(len(piece))}
-        self.costs |= {piece: round(1e6 * math.log(rank + 2)) for piece, rank in ranks.items()}
+def guessed(pieces: list[bytes], ranks: dict[bytes, int]) -> list[int]:
+    """Costs before anything is counted: Zipf's law."""
+    return [round(1e6 * math.log(ranks[p] + 2)) for p in pieces]
+
+
+def estimated(counts: np.ndarray) -> list[int]:
+    """Costs by counts of the pieces."""
+    return np.rint(-1e6 * np.log((counts + 1) / (counts.sum() + len(counts)))).astype(np.int64).tolist()
+
+
+class CountTrie(dict):
+    """Pre-token -> place in `tokens_of` and `cost_of`, inserted when first asked for. costs[i] is that of pieces[i]."""
+
+    def __init__(self, pieces: list[bytes], costs: list[int]):
+        super().__init__()
+        if missing := 256 - sum(len(p) == 1 for p in pieces):
+            raise ValueError(f"the vocabulary lacks {missing} single bytes")
+        #: every suffix of a piece; -1 where it is no piece itself
+        self.pieces = {piece[i:]: -1 for piece in pieces for i in range(len(piece))} | {piece: i for i, piece in enumerate(pieces)}
+        self.costs = costs
         self.clear()
 
     def clear(self) -> None:
+        super().clear()
         self.child: dict[int, int] = {}
-        self.cost = [0]
-        self.tokens = [0]
-        self.terminal: dict[str, tuple[int, int]] = {}
+        #: by node: forward score, tokens, the last piece and the node before it
+        self.cost, self.tokens, self.last, self.before = [0], [0], [-1], [0]
+        self.tokens_of, self.cost_of, self.node_of = array("q"), array("q"), array("q")
 
     def insert(self, raw: bytes) -> int:
         """The node of raw; scores only the nodes that no earlier pre-token has made."""
-        child, cost, tokens, costs = self.child, self.cost, self.tokens, self.costs.get
+        child, cost, tokens, piece_of, costs = self.child, self.cost, self.tokens, self.pieces.get, self.costs
         path, node = [0], 0
         for depth, byte in enumerate(raw, 1):
             key = node << 8 | byte
             node = child.get(key, 0)
             if not node:
-                least = fewest = -1
+                least = fewest = last = before = -1
                 for start in range(depth - 1, -1, -1):
-                    piece = costs(raw[start:depth])
+                    piece = piece_of(raw[start:depth])
                     if piece is None:
                         break  # no piece ends so, hence none that is longer
-                    if piece:
+                    if piece >= 0:
                         at = path[start]
-                        total = cost[at] + piece
+                        total = cost[at] + costs[piece]
                         if least < 0 or total < least or total == least and tokens[at] < fewest:
-                            least, fewest = total, tokens[at]
+                            least, fewest, last, before = total, tokens[at], piece, at
                 node = child[key] = len(cost)
                 cost.append(least)
                 tokens.append(fewest + 1)
+                self.last.append(last)
+                self.before.append(before)
             path.append(node)
         return node
 
-    def count(self, word: str) -> tuple[int, int]:
-        """(tokens, cost) of one pre-token."""
-        found = self.terminal.get(word)
-        if found is None:
-            raw = word.encode()
-            if len(raw) > LONG:
-                alone = CountTrie.__new__(CountTrie)
-                alone.costs = self.costs
-                alone.clear()
-                node = alone.insert(raw)
-                return alone.tokens[node], alone.cost[node]
-            if len(self.cost) > MAX_NODES:
-                self.clear()
-            node = self.insert(raw)
-            found = self.terminal[word] = (self.tokens[node], self.cost[node])
-        return found
+    def __missing__(self, word: str) -> int:
+        node = self.insert(word.encode())
+        self[word] = place = len(self)
+        self.tokens_of.append(self.tokens[node])
+        self.cost_of.append(self.cost[node])
+        self.node_of.append(node)
+        return place
+
+    def places(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def counted(self, times: np.ndarray) -> np.ndarray:
+        """How often each piece stands in the splits of the words at all places, taken `times` each."""
+        own = np.bincount(np.frombuffer(self.node_of, np.int64), times, len(self.cost)).astype(np.int64).tolist() if len(times) else [0]
+        found = [0] * len(self.costs)
+        for node in range(len(own) - 1, 0, -1):  # a node comes after all its ancestors
+            if n := own[node]:
+                found[self.last[node]] += n
+                own[self.before[node]] += n
+        return np.array(found, np.int64)
+
+    def alone(self, word: str) -> CountTrie:
+        """A trie of one long pre-token."""
+        other = CountTrie.__new__(CountTrie)
+        other.pieces, other.costs = self.pieces, self.costs
+        other.clear()
+        other[word]
+        return other
+
+
+@functools.lru_cache(maxsize=2)
+def _vocabulary(content: bytes) -> tuple[list[bytes], dict[bytes, int]]:
+    ranks = read_ranks(content)
+    return sorted(ranks, key=ranks.get), ranks
 
 
 @functools.lru_cache(maxsize=2)
-def trie_of(content: bytes) -> CountTrie:
-    return CountTrie(read_ranks(content))
+def _trie(content: bytes, costs: bytes | None) -> CountTrie:
+    pieces, ranks = _vocabulary(content)
+    return CountTrie(pieces, guessed(pieces, ranks) if costs is None else np.frombuffer(costs, np.int64).tolist())
+
+
+def piece_counts(docs: DataFrame, content: Broadcast, pattern: str) -> DataFrame:
+    """(piece, n): how often each piece stands in the guessed splits of all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, find = _trie(content.value, None), regex.compile(pattern).findall
+        total, times = np.zeros(len(trie.costs), np.int64), np.zeros(0, np.int64)
+        trie.clear()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words = find(text or "")
+                if any(map(LONG.__lt__, map(len, words))):
+                    for w in (w for w in words if len(w) > LONG):
+                        total += trie.alone(w).counted(np.ones(1, np.int64))
+                    words = [w for w in words if len(w) <= LONG]
+                found = np.bincount(trie.places(words), minlength=len(times))
+                if len(found) > len(times):
+                    times = np.concatenate([times, np.zeros(len(found) - len(times) + 10_000, np.int64)])
+                times[: len(found)] += found
+                if len(trie.cost) > MAX_NODES:
+                    total += trie.counted(times[: len(trie)])
+                    trie.clear()
+                    times = np.zeros(0, np.int64)
+        total += trie.counted(times[: len(trie)])
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["piece", "n"])
+
+    return docs.select("text").mapInArrow(run, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
 def counts(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, n_pretokens, n_tokens and score (minus the cost, in natural-log units) of every text."""
+    """doc_id, n_pretokens, n_tokens and score (natural-log probability of the split) of every text."""
     spark = docs.sparkSession
     small_batches(spark)
     if path is None or pattern is None:
@@ -110,16 +178,29 @@ def counts(docs: DataFrame, path: str | None = None, pattern: str | None = None)
 
         path, pattern = path or str(public_tokenizers.path("byte_bpe_50k.tiktoken")), pattern or public_tokenizers.PATTERN
     with open(path, "rb") as f:
-        content = spark.sparkContext.broadcast(f.read())
+        raw = f.read()
+    content = spark.sparkContext.broadcast(raw)
+    number = np.zeros(len(_vocabulary(raw)[0]), np.int64)
+    for r in piece_counts(docs, content, pattern).collect():  # at most one row a piece
+        number[r["piece"]] = r["n"]
+    costs = spark.sparkContext.broadcast(np.array(estimated(number), np.int64).tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, find = trie_of(content.value), regex.compile(pattern).findall
+        trie, find = _trie(content.value, costs.value), regex.compile(pattern).findall
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
-                words = find(text or "")
-                found = [trie.terminal.get(w) or trie.count(w) for w in words]
-                rows.append((len(words), sum(n for n, _ in found), -sum(c for _, c in found) / 1e6))
+                words, n, cost = find(text or ""), 0, 0
+                every = len(words)
+                if any(map(LONG.__lt__, map(len, words))):
+                    for w in (w for w in words if len(w) > LONG):
+                        alone = trie.alone(w)
+                        n, cost = n + alone.tokens_of[0], cost + alone.cost_of[0]
+                    words = [w for w in words if len(w) <= LONG]
+                if len(trie.cost) > MAX_NODES:
+                    trie.clear()
+                at = trie.places(words)
+                rows.append((every, n + int(np.frombuffer(trie.tokens_of, np.int64)[at].sum()) if len(at) else n, -(cost + int(np.frombuffer(trie.cost_of, np.int64)[at].sum()) if len(at) else cost) / 1e6))
             pre, tokens, score = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.record_batch([batch.column(0), pa.array(pre, pa.int64()), pa.array(tokens, pa.int64()), pa.array(score, pa.float64())], names=["doc_id", "n_pretokens", "n_tokens", "score"])
 

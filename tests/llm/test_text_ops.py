@@ -149,22 +149,31 @@ def test_token_counts_match_plain_dynamic_programming(spark):
     ranks = token_counts.read_ranks(open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read())
     costs = {p: round(1e6 * math.log(r + 2)) for p, r in ranks.items()}
 
-    def plain(raw):
-        best = [(0, 0)]
+    def plain(raw, costs):
+        best = [(0, 0, 0, [])]  # cost, tokens, length of the last piece, pieces
         for d in range(1, len(raw) + 1):
-            best.append(min((best[s][0] + costs[raw[s:d]], best[s][1] + 1) for s in range(max(0, d - 128), d) if raw[s:d] in costs))
+            best.append(min((best[s][0] + costs[raw[s:d]], best[s][1] + 1, d - s, [*best[s][3], raw[s:d]]) for s in range(max(0, d - 128), d) if raw[s:d] in costs))
         return best[-1]
 
-    texts = [t if t is None or len(t) < 1000 else t[:3000] for t in ODD] + ["Unhappiness anticonstitutionally internationalisation"]
-    docs = documents(spark, [(i, t, "s") for i, t in enumerate(texts)])
-    for r in token_counts.counts(docs).collect():
-        found = [plain(w.encode()) for w in regex.findall(public_tokenizers.PATTERN, texts[r.doc_id] or "")]
-        assert (r.n_pretokens, r.n_tokens) == (len(found), sum(n for _, n in found))
-        assert math.isclose(r.score, -sum(c for c, _ in found) / 1e6, abs_tol=1e-6)
-    trie = token_counts.CountTrie(ranks)
-    want = [trie.count(w) for w in ("abc", "abcd", "xyz")]
-    trie.clear()
-    assert [trie.count(w) for w in ("xyz", "abcd", "abc")] == want[::-1]
+    texts = [t if t is None or len(t) < 1000 else t[:1500] for t in ODD] + ["Unhappiness anticonstitutionally internationalisation"] * 2
+    words = [[w.encode() for w in regex.findall(public_tokenizers.PATTERN, t or "")] for t in texts]
+    seen = Counter(p for ws in words for w in ws for p in plain(w, costs)[3])
+    every = sum(seen.values()) + len(ranks)
+    costs = {p: round(-1e6 * math.log((seen[p] + 1) / every)) for p in ranks}
+    docs = documents(spark, [(i, t, "s") for i, t in enumerate(texts)]).selectExpr("*", "1 as n", "2 as piece", "3 as score")
+    for long, nodes in ((2_000, 700_000), (700, 40)):
+        old = token_counts.LONG, token_counts.MAX_NODES
+        token_counts.LONG, token_counts.MAX_NODES = long, nodes
+        try:
+            rows = token_counts.counts(docs).collect()
+            assert token_counts.counts(docs.limit(0)).count() == 0
+        finally:
+            token_counts.LONG, token_counts.MAX_NODES = old
+        assert len(rows) == len(texts)
+        for r in rows:
+            found = [plain(w, costs) for w in words[r.doc_id]]
+            assert (r.n_pretokens, r.n_tokens) == (len(found), sum(x[1] for x in found))
+            assert math.isclose(r.score, -sum(x[0] for x in found) / 1e6, abs_tol=1e-6)
 
 
 @settings(max_examples=100, deadline=None)
