@@ -1,19 +1,23 @@
 """Main text of raw web pages, with a suffix array per host.
 
 A page is cut into blocks, each in a zone: inside an article (or main) element, elsewhere, or inside an element that is no main text
-by its name, role or class (menus, headers, footers, sidebars, notices, adverts, forms, comments). The token streams of a host's
-pages, without what stands inside an article, are concatenated and a suffix array is built; substrings of MIN_RUN tokens and more
-that repeat across distinct pages are boilerplate. A page with an article gives its article, whole: what repeats there (quoted
-passages, copies) is main text and stays. A page without one gives its unmarked blocks less what the boilerplate covers: the
-unique runs. (Substring repeats alone cannot do it: adverts and footers may be unique to a page, and article passages repeat.)
+by its name, role or class (menus, headers, footers, sidebars, notices, adverts, forms, comments). The token streams of a host's pages, all
+zones, are concatenated and a suffix array is built; it gives the substrings of MIN_RUN tokens and more that repeat across distinct pages and
+on how many. Tags are evidence for what may be main text, the array decides what of it is the site's:
+- inside an article (else main) element, a run that stands on more than COMMON of a host's distinct pages, with COMMON_PAGES pages at least, is
+  boilerplate, whatever its tags; what fewer pages share (quoted passages, copies) is main text and stays;
+- on a page with neither, where no tag vouches for a block, every run that another page repeats is boilerplate: the unique runs stay.
+(Substring repeats alone cannot do it: adverts and footers may be unique to a page, and article passages repeat.)
 
 Defined results: a null or empty html gives the empty text; a cut-off tag or comment at the end is markup; character references are decoded as
 HTML5 does; white space inside a block becomes one space; a null or odd url has the host ''; pages that repeat a page_id are pages of
-their own; equal pages of a host count as distinct pages; an empty table gives an empty result; extra columns are ignored.
+their own; pages of a host with equal text count as one distinct page; very long pages are read whole; an empty table gives an empty result;
+extra columns are ignored, whatever their names.
 
-At scale: parsing is a map; only streams outside articles are shuffled; a host with more than HOST_TOKENS tokens is dealt to several
-arrays by a hash of the page, and what repeats only across these is found by an exchange of window hashes, so no task
-holds more than a bounded part of a host and nothing is lost.
+At scale: parsing is a map; streams are shuffled once; a host with more than HOST_TOKENS tokens is dealt to several arrays by a hash of the
+page's text, so no task holds more than a bounded part of a host; what repeats only across arrays is found by an exchange of window hashes, and
+what more than COMMON of all pages share does so in one of the arrays at least, whose few such windows are then counted on all pages. A host's
+rows meet its list of such windows by (host, salt).
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ from .common import mix, small_batches, stored, table
 
 MIN_RUN = 8
 HOST_TOKENS = 2_000_000
+COMMON, COMMON_PAGES = 0.8, 20
+SALTS = 32
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -162,26 +168,31 @@ def suffix_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def repeated(tokens: np.ndarray, pages: np.ndarray, least: int = MIN_RUN) -> np.ndarray:
-    """Which tokens lie in a substring of `least` tokens or more that occurs on two pages. Tokens of each page are consecutive."""
+def repeated(tokens: np.ndarray, pages: np.ndarray, least: int = MIN_RUN) -> tuple[np.ndarray, np.ndarray]:
+    """(which tokens lie in a substring of `least` tokens or more that occurs on two pages, on how many pages the one that begins at a token
+    occurs). Tokens of each page are consecutive."""
     n = len(tokens)
-    covered = np.zeros(n, bool)
+    on = np.zeros(n, np.int64)
     if n < least:
-        return covered
+        return np.zeros(n, bool), on
     inside = np.zeros(n, bool)
     inside[: n - least + 1] = pages[: n - least + 1] == pages[least - 1 :]
     rank = suffix_ranks(tokens, least)
     order = np.lexsort((pages, rank))
     order = order[inside[order]]
+    if not len(order):
+        return np.zeros(n, bool), on
     r, p = rank[order], pages[order]
-    # suffixes of one rank are neighbours in the array; a rank with two pages has a first and a last that differ
-    first = np.searchsorted(r, r, "left")
-    last = np.searchsorted(r, r, "right") - 1
-    starts = order[p[first] != p[last]]
+    # suffixes of one rank are neighbours in the array, those of one page among them too
+    new = np.concatenate([[True], r[1:] != r[:-1]])
+    group = np.cumsum(new) - 1
+    distinct = np.bincount(group, new | np.concatenate([[True], p[1:] != p[:-1]])).astype(np.int64)
+    on[order] = distinct[group]
     edge = np.zeros(n + 1, np.int64)
+    starts = np.flatnonzero(on > 1)
     np.add.at(edge, starts, 1)
     np.add.at(edge, starts + least, -1)
-    return np.cumsum(edge[:n]) > 0
+    return np.cumsum(edge[:n]) > 0, on
 
 
 def _token_ids(blocks: list[str]) -> np.ndarray:
@@ -202,29 +213,47 @@ def windows(ids: np.ndarray, least: int = MIN_RUN) -> np.ndarray:
     return h
 
 
-_COVER = "page long, part long, covered binary, open array<long>, places array<int>"
+_COVER = "host string, page long, part long, covered binary, open array<long>, places array<int>, seen array<long>, common array<long>"
 
 
 def _array(frame: pd.DataFrame) -> pd.DataFrame:
-    """The suffix array of one host's (or one part's) streams: the covered tokens of each page; where the host has several parts, the windows that are still open."""
-    frame = frame.sort_values(["part", "page"], kind="stable")
-    ids = [_token_ids(b) for b in frame["stream"]]
+    """The suffix array of one host's (or one part's) streams: the covered tokens of each page; of the host's only array the common windows; of one
+    of several the windows that are still open, those that several pages of it share (`seen`), and those that may be common."""
+    frame = frame.sort_values(["digest", "part", "page"], kind="stable").reset_index(drop=True)
+    first = ~frame["digest"].duplicated()
+    ids = [_token_ids(b) for b in frame["stream"][first]]
     tokens = np.concatenate(ids)
-    covered = repeated(tokens, np.repeat(np.arange(len(ids)), [len(x) for x in ids]))
+    covered, on = repeated(tokens, np.repeat(np.arange(len(ids)), [len(x) for x in ids]))
     several = bool((frame["arrays"] > 1).any())
-    out, at = [], 0
+    often = on > COMMON * len(ids) if several or len(ids) >= COMMON_PAGES else np.zeros(len(on), bool)
+    made, common, seen, at = [], set(), set(), 0
     for x in ids:
-        own = covered[at : at + len(x)]
+        own, mark, shared = covered[at : at + len(x)], often[at : at + len(x)], on[at : at + len(x)] > 1
         at += len(x)
-        hashes = windows(x) if several else np.zeros(0, np.uint64)
+        hashes = windows(x) if several or mark.any() else np.zeros(0, np.uint64)
+        common.update(hashes[np.flatnonzero(mark)].view(np.int64).tolist())
+        if several:
+            seen.update(hashes[np.flatnonzero(shared)].view(np.int64).tolist())
         # a window all of whose tokens are covered adds nothing
         places = np.flatnonzero(np.convolve(~own, np.ones(MIN_RUN, np.int64), "valid")) if several and len(x) >= MIN_RUN else np.zeros(0, np.int64)
-        out.append((np.packbits(own).tobytes(), hashes[places].view(np.int64).tolist(), places.astype(np.int32).tolist()))
-    covered_, open_, places_ = zip(*out, strict=True)
-    return pd.DataFrame({"page": frame["page"].to_numpy(), "part": frame["part"].to_numpy(), "covered": covered_, "open": open_, "places": places_})
+        made.append((np.packbits(own).tobytes(), hashes[places].view(np.int64).tolist(), places.astype(np.int32).tolist()))
+    covered_, open_, places_ = zip(*(made[i] for i in first.cumsum() - 1), strict=True)
+    n = len(frame)
+    return pd.DataFrame({"host": frame["host"], "page": frame["page"], "part": frame["part"], "covered": covered_, "open": open_, "places": places_, "seen": [sorted(seen), *[[]] * (n - 1)], "common": [sorted(common), *[[]] * (n - 1)]})
 
 
-_PARSED = "part long, page long, page_id long, url string, host string, text string, zones array<int>, stream array<string>, n_tokens long"
+def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The listed windows that each page holds, once."""
+    for batch in batches:
+        hosts, found = [], []
+        for host, stream, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own = np.intersect1d(windows(_token_ids(stream)).view(np.int64), np.array(wanted, np.int64))
+            hosts += [host] * len(own)
+            found += own.tolist()
+        yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], names=["host", "window"])
+
+
+_PARSED = "part long, page long, page_id long, url string, host string, zones array<int>, stream array<string>, n_tokens long"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,67 +263,91 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for url, source in zip(urls.to_pylist(), pages.to_pylist(), strict=True):
             blocks = parse(source)
-            zone = max((z for z, _ in blocks), default=OTHER)
-            text = " ".join(t for z, t in blocks if z == zone) if zone > OTHER else None
-            stream = [(z, t) for z, t in blocks if z <= OTHER]
-            rows.append((page, host_of(url), text, [z for z, _ in stream], [t for _, t in stream], sum(t.count(" ") + 1 for _, t in stream)))
+            rows.append((page, host_of(url), [z for z, _ in blocks], [t for _, t in blocks], sum(t.count(" ") + 1 for _, t in blocks)))
             page += 1
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 5
         yield pa.record_batch(
-            [part, pa.array(columns[0], pa.int64()), ids, urls, pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.list_(pa.int32())), pa.array(columns[4], pa.list_(pa.string())), pa.array(columns[5], pa.int64())],
+            [part, pa.array(columns[0], pa.int64()), ids, urls, pa.array(columns[1], pa.string()), pa.array(columns[2], pa.list_(pa.int32())), pa.array(columns[3], pa.list_(pa.string())), pa.array(columns[4], pa.int64())],
             names=[x.split()[0] for x in _PARSED.split(", ")],
         )
 
 
-def _covers(parsed: DataFrame) -> DataFrame:
-    """part, page, covered (bits of the stream's tokens), more (places of further repeated windows)."""
-    streams = parsed.where("n_tokens > 0").select("part", "page", "host", "stream", "n_tokens")
+def _salted(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one small row a host, by (host, salt): a host with a third of all pages meets its row in many tasks."""
+    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("salt", F.pmod(F.xxhash64("part", "page"), F.lit(SALTS)).cast("int")).join(right, ["host", "salt"], how).drop("salt")
+
+
+def _covers(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """part, page, covered (bits of the stream's tokens), more (places of further repeated windows); and host, common (its common windows)."""
+    streams = parsed.where("n_tokens > 0").select("part", "page", "host", "stream", "n_tokens", F.xxhash64("stream").alias("digest"))
     hosts = streams.groupBy("host").agg(F.ceil(F.sum("n_tokens") / HOST_TOKENS).cast("int").alias("arrays"))
-    # one row a host and array; pages are dealt by a hash
-    dealt = streams.join(hosts, "host").withColumn("array", F.pmod(F.xxhash64("part", "page"), F.col("arrays")).cast("int"))
-    made = dealt.select("host", "array", "arrays", "part", "page", "stream").groupBy("host", "array").applyInPandas(_array, _COVER)
+    # one row a host and array; pages are dealt by a hash of their text
+    dealt = _salted(streams, hosts).withColumn("array", F.pmod("digest", F.col("arrays")).cast("int"))
+    made = dealt.select("host", "array", "arrays", "part", "page", "digest", "stream").groupBy("host", "array").applyInPandas(_array, _COVER)
     found = stored(made, "html-covers")
-    several = hosts.where("arrays > 1")
+    several = hosts.where("arrays > 1").select("host")
+    none = F.array().cast("array<int>")
+    listed = found.where(F.size("common") > 0).select("host", "common")
     if several.isEmpty():
-        return found.select("part", "page", "covered", F.array().cast("array<int>").alias("more"))
-    wide = found.where(F.size("open") > 0).join(streams.select("part", "page", "host"), ["part", "page"])
-    each = wide.select("host", "part", "page", F.explode(F.arrays_zip("open", "places")).alias("w")).select("host", "part", "page", F.col("w.open").alias("window"), F.col("w.places").alias("place"))
+        return found.select("part", "page", "covered", none.alias("more")), listed
+    each = found.where(F.size("open") > 0).select("host", "part", "page", F.explode(F.arrays_zip("open", "places")).alias("w")).select("host", "part", "page", F.col("w.open").alias("window"), F.col("w.places").alias("place"))
     who = F.struct("part", "page")
-    twice = each.groupBy("host", "window").agg(F.min(who).alias("a"), F.max(who).alias("b")).where("a <> b").select("host", "window")
+    seen = found.where(F.size("seen") > 0).select("host", F.explode("seen").alias("window"), F.lit(True).alias("seen"), F.lit(None).cast("struct<part:long,page:long>").alias("who"))
+    shown = each.select("host", "window", F.lit(False).alias("seen"), who.alias("who")).unionAll(seen)
+    twice = shown.groupBy("host", "window").agg(F.min("who").alias("a"), F.max("who").alias("b"), F.bool_or("seen").alias("seen")).where("a <> b or (seen and a is not null)").select("host", "window")
     more = each.join(twice, ["host", "window"], "left_semi").groupBy("part", "page").agg(F.collect_list("place").alias("more"))
-    return found.join(more, ["part", "page"], "left").select("part", "page", "covered", F.coalesce("more", F.array().cast("array<int>")).alias("more"))
+    more = found.join(more, ["part", "page"], "left").select("part", "page", "covered", F.coalesce("more", none).alias("more"))
+    # what may be common in one array is counted on all pages of the host; a page has few of these windows, a host not more
+    perhaps = listed.join(several, "host", "left_semi").groupBy("host").agg(F.array_distinct(F.flatten(F.collect_list("common"))).alias("wanted"))
+    pages = streams.join(several, "host", "left_semi").groupBy("host", "digest").agg(F.min(F.struct("part", "page", "stream")).alias("one")).select("host", "one.*")
+    number = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    counted = _salted(pages, perhaps).select("host", "stream", "wanted").mapInArrow(_hits, "host string, window long").groupBy("host", "window").agg(F.count("*").alias("n"))
+    common = counted.join(number, "host").where((F.col("n") > COMMON * F.col("pages")) & (F.col("pages") >= COMMON_PAGES)).groupBy("host").agg(F.collect_list("window").alias("common"))
+    return more, stored(listed.join(several, "host", "left_anti").unionAll(common), "html-common")
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for text, zones, stream, n, covered, more in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+        for zones, stream, n, covered, more, common in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+            zone = max([OTHER, *zones])
             bits = np.zeros(n, bool)
-            if covered is not None:
+            if zone > OTHER and common:
+                own = np.repeat(np.array(zones) == zone, [t.count(" ") + 1 for t in stream])
+                found = np.isin(windows(_token_ids(stream)).view(np.int64), np.array(common, np.int64))
+                more = [x for x in np.flatnonzero(found).tolist() if own[x : x + MIN_RUN].all()]
+            elif zone == OTHER and covered is not None:
                 bits = np.unpackbits(np.frombuffer(covered, np.uint8), count=n).astype(bool)
-                for place in more:
-                    bits[place : place + MIN_RUN] = True
-            if text is None:
-                kept, at = [], 0
-                for zone, block in zip(zones, stream, strict=True):
-                    words = block.split(" ")
-                    own = bits[at : at + len(words)]
-                    at += len(words)
-                    if zone == OTHER:
-                        kept += [w for w, gone in zip(words, own, strict=True) if not gone]
-                text = " ".join(kept)
-            rows.append((text, len(text), int(bits.sum())))
+            else:
+                more = []
+            for place in more:
+                bits[place : place + MIN_RUN] = True
+            kept, at, gone = [], 0, 0
+            for z, block in zip(zones, stream, strict=True):
+                size = block.count(" ") + 1
+                own = bits[at : at + size]
+                at += size
+                if z == zone:
+                    if own.any():
+                        gone += int(own.sum())
+                        block = " ".join(w for w, out in zip(block.split(" "), own, strict=True) if not out)
+                    if block:
+                        kept.append(block)
+            text = " ".join(kept)
+            rows.append((text, len(text), gone))
         columns = list(zip(*rows, strict=True)) if rows else [()] * 3
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["page_id", "url", "text", "n_chars", "n_boilerplate"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars, n_boilerplate (tokens of the page's stream that the host repeats) of every row."""
+    """page_id, url, text, n_chars, n_boilerplate (tokens that the suffix array took from the text) of every row."""
     small_batches(pages.sparkSession)
     rows = pages.select(F.spark_partition_id().cast("long").alias("part"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
     parsed = stored(rows.mapInArrow(_parse, _PARSED), "html-parsed")
-    joined = parsed.join(_covers(parsed), ["part", "page"], "left")
-    columns = joined.select("page_id", "url", "text", "zones", "stream", "n_tokens", "covered", F.coalesce("more", F.array().cast("array<int>")).alias("more"))
+    covers, common = _covers(parsed)
+    joined = _salted(parsed.join(covers, ["part", "page"], "left"), common, "left")
+    columns = joined.select("page_id", "url", "zones", "stream", "n_tokens", "covered", F.coalesce("more", F.array().cast("array<int>")).alias("more"), "common")
     return columns.mapInArrow(_finish, "page_id long, url string, text string, n_chars long, n_boilerplate long")
 
 

@@ -85,6 +85,37 @@ def test_host_boilerplate_goes_and_unique_runs_stay(spark, tokens_per_array):
     assert got[50] == f"alone {footer}" and got[51] == f"quoted {footer}"
 
 
+@pytest.mark.parametrize("tokens_per_array", [2_000_000, 300])
+def test_boilerplate_inside_articles_goes_by_the_array_alone(spark, tokens_per_array):
+    """No tag, class or id tells the notice from the text; nearly every page of the host has it. Half of them quote a passage, which stays."""
+    notice = "read more of our stories every morning with a plan that suits you best"
+    passage = "this long passage has been quoted word by word on a great many pages here"
+    own = lambda i: " ".join(f"p{i}w{k}" for k in range(20))
+    rows, want = [], {}
+    for i in range(40):
+        quote = f"<p>{passage}</p>" if i % 2 else ""
+        rows.append((i, "http://a.example/x", f"<main><article><h1>Title {i}</h1><p>{own(i)}</p><p>{notice if i % 10 else 'none'}</p>{quote}<p>the end {i}</p></article></main>"))
+        want[i] = f"Title {i} {own(i)}" + (" none" if i % 10 == 0 else "") + (f" {passage}" if i % 2 else "") + f" the end {i}"
+    # equal pages are one page; a small host's repeats stay
+    rows += [(100 + i, "http://b.example/x", f"<article>same page for everyone {notice}</article>") for i in range(60)]
+    rows += [(200 + i, "http://c.example/x", f"<article>{own(i)} {notice}</article>") for i in range(5)]
+    want |= {100 + i: f"same page for everyone {notice}" for i in range(60)} | {200 + i: f"{own(i)} {notice}" for i in range(5)}
+    old, H.HOST_TOKENS = H.HOST_TOKENS, tokens_per_array
+    try:
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as host", "2 as salt", "3 as common").repartition(3)
+        got = {r.page_id: r for r in H.extract(df).collect()}
+    finally:
+        H.HOST_TOKENS = old
+    assert {i: r.text for i, r in got.items()} == want
+    assert all(r.n_chars == len(r.text) for r in got.values()) and got[1].n_boilerplate == 14 and got[0].n_boilerplate == 0
+
+
+def test_a_very_long_page(spark):
+    text = " ".join(f"w{i % 5000}" for i in range(300_000))
+    df = spark.createDataFrame([(1, "http://a.example/", f"<article><p>{text}</p></article>"), (1, "http://a.example/", "<article>x</article>")], "page_id long, url string, html string")
+    assert sorted(r.text for r in H.extract(df).collect()) == sorted([text, "x"])
+
+
 def test_suffix_array_cover_matches_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(150):
@@ -99,7 +130,10 @@ def test_suffix_array_cover_matches_brute_force():
             if len({pages[i] for i in places}) > 1:
                 for i in places:
                     want[i : i + least] = True
-        assert (H.repeated(tokens, pages, least) == want).all()
+        covered, on = H.repeated(tokens, pages, least)
+        assert (covered == want).all()
+        for places in at.values():
+            assert {int(on[i]) for i in places} == {len({pages[i] for i in places})}
 
 
 def test_pipeline_stages(spark, tmp_path):
