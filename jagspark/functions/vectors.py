@@ -7,22 +7,22 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .elementwise import _let
+
 
 def delta_phi(a: Column, b: Column) -> Column:
     """a - b, wrapped by the floored remainder."""
     turn = 2 * math.pi
-    x = a - b + math.pi
-    return x - F.lit(turn) * F.floor(x / turn) - math.pi
+    return _let(a - b + math.pi, lambda x: x - F.lit(turn) * F.floor(x / turn) - math.pi)
 
 
 def delta_r(eta1: Column, phi1: Column, eta2: Column, phi2: Column) -> Column:
-    d, p = eta1 - eta2, delta_phi(phi1, phi2)
-    return F.sqrt(d * d + p * p)
+    return F.hypot(eta1 - eta2, delta_phi(phi1, phi2))
 
 
 def pair_mass(a: Column, b: Column) -> Column:
     """Invariant mass of two massless momenta: structs with pt, eta, phi."""
-    return F.sqrt(F.greatest(2 * a["pt"] * b["pt"] * (F.cosh(a["eta"] - b["eta"]) - F.cos(delta_phi(a["phi"], b["phi"]))), F.lit(0.0)))
+    return F.sqrt(F.greatest(2 * a["pt"] * b["pt"] * (F.cosh(a["eta"] - b["eta"]) - F.cos(a["phi"] - b["phi"])), F.lit(0.0)))
 
 
 def cartesian_components(v: Column) -> tuple[Column, Column, Column, Column]:
@@ -38,4 +38,4 @@ def sum_mass_pt(vectors: list[Column]) -> tuple[Column, Column]:
 
 
 def transverse_mass(pt1: Column, phi1: Column, pt2: Column, phi2: Column) -> Column:
-    return F.sqrt(2 * pt1 * pt2 * (1 - F.cos(delta_phi(phi1, phi2))))
+    return F.sqrt(2 * pt1 * pt2 * (1 - F.cos(phi1 - phi2)))
