@@ -8,12 +8,13 @@ min, max, ptp, argmin and argmax give NULL, and so does any reducer with mask_id
 from __future__ import annotations
 
 import builtins
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .elementwise import NAN, _c, div, isclose, nan_to_num, truth
+from .elementwise import NAN, _c, _let, div, isclose, nan_to_num, truth
 
 __all__ = ["isclose", "nan_to_num"]
 
@@ -31,57 +32,78 @@ def _fold(c: Column, of: Callable[[Column], Column] = lambda x: x, zero: float =
     return F.aggregate(c, F.lit(zero).cast("double"), lambda a, x: a + of(x.cast("double")))
 
 
-def _identity(result: Column, c, mask_identity: bool, keepdims: bool = False) -> Column:
-    result = F.when(F.size(_kept(c)) > 0, result) if mask_identity else result
-    result = F.when(_c(c).isNotNull(), result)
-    return F.when(_c(c).isNotNull(), F.array(result)) if keepdims else result
+def _reduced(c, make: Callable[[Column], Column], mask_identity: bool, keepdims: bool = False) -> Column:
+    """make(list), with the list's expression in the plan once; NULL for a NULL list, and for one without elements where the identity is masked."""
+
+    def of(x: Column) -> Column:
+        result = F.when(F.size(_kept(x)) > 0, make(x)) if mask_identity else make(x)
+        result = F.when(x.isNotNull(), result)
+        return F.when(x.isNotNull(), F.array(result)) if keepdims else result
+
+    return _let(_c(c), of)
+
+
+def _natural(x: Column) -> Column:
+    """x as a long where it is whole, else as it is (a double)."""
+    return x + F.lit(0).cast("long")
+
+
+def _accumulate(c: Column, dtype: str | None, start: int, step: Callable[[Column, Column], Column]) -> Column:
+    """A fold over the elements that are present, in `dtype`, else in the elements' own kind: whole numbers stay whole."""
+    value = _natural if dtype is None else (lambda x: x.cast(dtype))
+    kind = value(F.get(c, F.lit(0)))  # never taken: it only gives the start the values' type
+    zero = F.when(F.lit(False), kind).otherwise(F.lit(start).cast("long" if dtype is None else dtype))
+    return F.aggregate(_kept(c), zero, lambda a, x: step(a, value(x)))
 
 
 # ---------------------------------------------------------------- reducers
 
 
 def count(c, keepdims: bool = False, mask_identity: bool = False) -> Column:
-    return _identity(F.size(_kept(c)).cast("long"), c, mask_identity, keepdims)
+    return _reduced(c, lambda x: F.size(_kept(x)).cast("long"), mask_identity, keepdims)
 
 
 def count_nonzero(c, keepdims: bool = False, mask_identity: bool = False) -> Column:
-    return _identity(F.size(F.filter(_kept(c), truth)).cast("long"), c, mask_identity, keepdims)
+    return _reduced(c, lambda x: F.size(F.filter(_kept(x), truth)).cast("long"), mask_identity, keepdims)
 
 
-def sum(c, keepdims: bool = False, mask_identity: bool = False, dtype: str = "double") -> Column:
-    total = F.aggregate(_kept(c), F.lit(0).cast(dtype), lambda a, x: a + x.cast(dtype))
-    return _identity(total, c, mask_identity, keepdims)
+def sum(c, keepdims: bool = False, mask_identity: bool = False, dtype: str | None = None) -> Column:
+    """Whole numbers add up to a long, others to a double, unless dtype says otherwise (booleans need 'long')."""
+    return _reduced(c, lambda x: _accumulate(x, dtype, 0, lambda a, y: a + y), mask_identity, keepdims)
 
 
-def prod(c, keepdims: bool = False, mask_identity: bool = False, dtype: str = "double") -> Column:
-    return _identity(F.aggregate(_kept(c), F.lit(1).cast(dtype), lambda a, x: a * x.cast(dtype)), c, mask_identity, keepdims)
+def prod(c, keepdims: bool = False, mask_identity: bool = False, dtype: str | None = None) -> Column:
+    return _reduced(c, lambda x: _accumulate(x, dtype, 1, lambda a, y: a * y), mask_identity, keepdims)
 
 
 def any(c, keepdims: bool = False, mask_identity: bool = False) -> Column:
-    return _identity(F.exists(_kept(c), truth), c, mask_identity, keepdims)
+    return _reduced(c, lambda x: F.exists(_kept(x), truth), mask_identity, keepdims)
 
 
 def all(c, keepdims: bool = False, mask_identity: bool = False) -> Column:
-    return _identity(F.forall(_kept(c), truth), c, mask_identity, keepdims)
+    return _reduced(c, lambda x: F.forall(_kept(x), truth), mask_identity, keepdims)
 
 
-def _extreme(take: Callable[[Column], Column], pick: Callable[..., Column]) -> Callable[..., Column]:
+def _extreme(take: Callable[[Column], Column], pick: Callable[..., Column], identity: float) -> Callable[..., Column]:
     def extreme(c, keepdims: bool = False, initial=None, mask_identity: bool = True) -> Column:
-        c = _c(c)
-        found = F.when(F.exists(c, lambda x: F.isnan(x.cast("double"))), F.lit(NAN)).otherwise(take(c))
-        if initial is not None:
-            found = pick(F.coalesce(found, F.lit(initial)), F.lit(initial))
-        return _identity(found, c, False, keepdims)
+        def of(x: Column) -> Column:
+            found = F.when(F.exists(x, lambda v: F.isnan(v.cast("double"))), F.lit(NAN)).otherwise(take(x))
+            if initial is not None:
+                found = pick(F.coalesce(found, F.lit(initial)), F.lit(initial))
+            # without elements: an infinity, which only a double can hold
+            return found if mask_identity else F.coalesce(found.cast("double"), F.lit(identity))
+
+        return _reduced(c, of, False, keepdims)
 
     return extreme
 
 
-min = _extreme(F.array_min, F.least)
-max = _extreme(F.array_max, F.greatest)
+min = _extreme(F.array_min, F.least, math.inf)
+max = _extreme(F.array_max, F.greatest, -math.inf)
 
 
 def ptp(c, keepdims: bool = False, mask_identity: bool = True) -> Column:
-    return _identity(max(c) - min(c) if mask_identity else F.coalesce(max(c) - min(c), F.lit(0.0)), c, False, keepdims)
+    return _reduced(c, lambda x: max(x) - min(x) if mask_identity else F.coalesce(max(x) - min(x), F.lit(0.0)), False, keepdims)
 
 
 def _pairs(x, w) -> Column:
@@ -99,21 +121,26 @@ def _moments(c, weight, of: Callable[[Column], Column]) -> tuple[Column, Column]
 
 
 def mean(c, weight=None, keepdims: bool = False, mask_identity: bool = False) -> Column:
-    return _identity(div(*_moments(c, weight, lambda x: x)), c, mask_identity, keepdims)
+    return _reduced(c, lambda x: div(*_moments(x, weight, lambda v: v)), mask_identity, keepdims)
 
 
 def moment(c, n: int, weight=None, keepdims: bool = False, mask_identity: bool = False) -> Column:
-    return _identity(div(*_moments(c, weight, lambda x: F.pow(x, F.lit(float(n))))), c, mask_identity, keepdims)
+    return _reduced(c, lambda x: div(*_moments(x, weight, lambda v: F.pow(v, F.lit(float(n))))), mask_identity, keepdims)
 
 
 def var(c, ddof: int = 0, weight=None, keepdims: bool = False, mask_identity: bool = False) -> Column:
-    centre = mean(c, weight)
-    top, total = _moments(c, weight, lambda x: (x - centre) * (x - centre))
-    return _identity(div(top, F.greatest(total - F.lit(float(ddof)), F.lit(0.0))), c, mask_identity, keepdims)
+    def of(x: Column) -> Column:
+        def about(centre: Column) -> Column:
+            top, total = _moments(x, weight, lambda v: (v - centre) * (v - centre))
+            return div(top, F.greatest(total - F.lit(float(ddof)), F.lit(0.0)))
+
+        return _let(mean(x, weight), about)  # the mean once, not once for each element
+
+    return _reduced(c, of, mask_identity, keepdims)
 
 
 def std(c, ddof: int = 0, weight=None, keepdims: bool = False, mask_identity: bool = False) -> Column:
-    return _identity(F.sqrt(var(c, ddof, weight)), c, mask_identity, keepdims)
+    return F.sqrt(var(c, ddof, weight, False, mask_identity)) if not keepdims else F.transform(var(c, ddof, weight, True, mask_identity), F.sqrt)
 
 
 def _sums(x, y) -> Column:
@@ -149,26 +176,27 @@ def linear_fit(x, y) -> Column:
 
 
 def _place(take: Callable[[Column], Column]) -> Callable[..., Column]:
-    def place(c, keepdims: bool = False) -> Column:
-        c = _c(c)
-        nan = F.exists(c, lambda x: F.isnan(x.cast("double")))
-        first_nan = F.array_position(F.transform(c, lambda x: F.isnan(x.cast("double"))), F.lit(True))
-        at = F.when(nan, first_nan).otherwise(F.array_position(c, take(c))) - 1
-        return F.when(c.isNotNull(), F.array(at)) if keepdims else at
+    def place(c, keepdims: bool = False, mask_identity: bool = True) -> Column:
+        def of(x: Column) -> Column:
+            nan = F.exists(x, lambda v: F.isnan(v.cast("double")))
+            first_nan = F.array_position(F.transform(x, lambda v: F.isnan(v.cast("double"))), F.lit(True))
+            at = F.when(nan, first_nan).otherwise(F.array_position(x, take(x))) - 1
+            return at if mask_identity else F.coalesce(at, F.lit(-1).cast("long"))
+
+        return _reduced(c, of, False, keepdims)
 
     return place
 
 
-#: Place of the first least or largest element; the first NaN comes before all; NULL for an empty list.
+#: Place of the first least or largest element; the first NaN comes before all; for an empty list NULL, or -1 where the identity is not masked.
 argmin = _place(F.array_min)
 argmax = _place(F.array_max)
 
 
 def softmax(c) -> Column:
-    c = _c(c)
-    peak = F.array_max(c)
-    total = _fold(_kept(c), lambda x: F.exp(x - peak))
-    return F.transform(c, lambda x: F.exp(x - peak) / total)
+    """exp(x) over the list's sum of them; the peak and the sum are made once a list."""
+    powers = lambda x: _let(F.array_max(x), lambda peak: F.transform(x, lambda v: F.exp(v - peak)))
+    return _let(_c(c), lambda x: _let(powers(x), lambda e: _let(_fold(_kept(e)), lambda total: F.transform(e, lambda v: v / total))))
 
 
 # ---------------------------------------------------------------- structure
@@ -295,12 +323,21 @@ def flatten(c) -> Column:
     return F.flatten(F.filter(_c(c), lambda x: x.isNotNull()))
 
 
+def running(c, dtype: str | None = None) -> Column:
+    """Running sums inside the list, as cumsum along the inner axis; a missing element makes the rest missing."""
+    c = _c(c)
+    value = _natural if dtype is None else (lambda x: x.cast(dtype))
+    none = F.filter(F.transform(c, value), lambda x: F.lit(False))
+    zero = F.struct(none.alias("sums"), F.when(F.lit(False), value(F.get(c, F.lit(0)))).otherwise(F.lit(0).cast("long" if dtype is None else dtype)).alias("last"))
+    step = lambda a, x: _let(a["last"] + value(x), lambda t: F.struct(F.concat(a["sums"], F.array(t)).alias("sums"), t.alias("last")))
+    return F.aggregate(c, zero, step, lambda a: a["sums"])
+
+
 def unflatten(c, counts) -> Column:
     """A list cut into lists of the given sizes, which must add up."""
     c, counts = _c(c), _c(counts)
-    ends = F.transform(counts, lambda n, i: F.aggregate(F.slice(counts, 1, i + 1), F.lit(0).cast("long"), lambda a, x: a + x))
-    cut = F.zip_with(counts, ends, lambda n, e: F.slice(c, (e - n + 1).cast("int"), n.cast("int")))
-    return F.when(F.size(c) == sum(counts, dtype="long"), cut).when(c.isNotNull(), F.raise_error(F.lit("counts do not add up")))
+    cut = lambda ends: F.zip_with(counts, ends, lambda n, e: F.slice(c, (e - n + 1).cast("int"), n.cast("int")))
+    return F.when(F.size(c) == sum(counts, dtype="long"), _let(running(counts, "long"), cut)).when(c.isNotNull(), F.raise_error(F.lit("counts do not add up")))
 
 
 def run_lengths(c) -> Column:
@@ -316,6 +353,15 @@ def broadcast_to(value, c) -> Column:
     return F.transform(_c(c), lambda x: value)
 
 
+def broadcast_arrays(columns: Sequence, lists: Sequence[bool], depth_limit: int | None = None) -> list[Column]:
+    """All columns at one depth: values are repeated for each element of the lists, which must be of equal length. depth_limit 1: as they are."""
+    columns = [_c(c) for c in columns]
+    if depth_limit == 1 or not builtins.any(lists):
+        return columns
+    whole = [c for c, is_list in builtins.zip(columns, lists, strict=True) if is_list]
+    return [_same_size(*whole, then=c if is_list else broadcast_to(c, whole[0])) for c, is_list in builtins.zip(columns, lists, strict=True)]
+
+
 def to_regular(c, size: int) -> Column:
     """The list, checked to have this length."""
     c = _c(c)
@@ -370,16 +416,27 @@ def singletons(c) -> Column:
     return F.array_compact(F.array(_c(c)))
 
 
-def full_like(c, value, dtype: str = "double") -> Column:
-    return F.transform(_c(c), lambda x: F.when(x.isNotNull(), F.lit(value).cast(dtype)))
+def full_like(c, value, dtype: str | None = "double", is_list: bool = True) -> Column:
+    """value for every element that is present, in `dtype`, else in the elements' own type. is_list False is for a flat column."""
+
+    def of(x: Column) -> Column:
+        # nullif of a value and itself is a NULL of its type
+        made = F.lit(value).cast(dtype) if dtype is not None else F.coalesce(F.nullif(x, x), F.lit(value))
+        return F.when(x.isNotNull(), made)
+
+    return F.transform(_c(c), of) if is_list else of(_c(c))
+
+
+def zeros_like(c, dtype: str | None = "double", is_list: bool = True) -> Column:
+    return full_like(c, 0, dtype, is_list)
 
 
-def zeros_like(c, dtype: str = "double") -> Column:
-    return full_like(c, 0, dtype)
+def ones_like(c, dtype: str | None = "double", is_list: bool = True) -> Column:
+    return full_like(c, 1, dtype, is_list)
 
 
-def ones_like(c, dtype: str = "double") -> Column:
-    return full_like(c, 1, dtype)
+#: Elements that nobody should rely on; zeros here.
+empty_like = zeros_like
 
 
 def values_astype(c, dtype: str, depth: int = 1) -> Column:

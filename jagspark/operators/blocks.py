@@ -39,9 +39,10 @@ def with_position(df: DataFrame, key: str, name: str = "ordinal") -> DataFrame:
 
 _SCANS: dict[str, tuple[Callable[[Column], Column], Callable[[Column], Column], Callable[[Column, Column], Column], float]] = {
     # per element, aggregate, combination of the earlier blocks' value and the running one, start
-    "cumsum": (lambda x: x, F.sum, lambda a, b: a + b, 0.0),
+    # whole numbers stay whole
+    "cumsum": (lambda x: x, F.sum, lambda a, b: a + b, 0),
     "cumprod": (lambda x: x, F.product, lambda a, b: a * b, 1.0),
-    "nancumsum": (lambda x: F.nanvl(x.cast("double"), F.lit(0.0)), F.sum, lambda a, b: a + b, 0.0),
+    "nancumsum": (lambda x: F.when(F.isnan(x.cast("double")), F.lit(0)).otherwise(x), F.sum, lambda a, b: a + b, 0),
     "nancumprod": (lambda x: F.nanvl(x.cast("double"), F.lit(1.0)), F.product, lambda a, b: a * b, 1.0),
 }
 

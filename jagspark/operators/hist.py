@@ -25,6 +25,11 @@ def bin_of(x: Column, bins: int, low: float, high: float, closed_right: bool = T
     return F.when(inside, F.greatest(moved, F.lit(0).cast("long")))
 
 
+def _valued(df: DataFrame, x: list[Column], *kept: Column) -> DataFrame:
+    """x0, x1, ... and the kept columns: the bins' expressions name x several times, and must not make it anew each time."""
+    return df.select(*[c.cast("double").alias(f"_x{i}") for i, c in enumerate(x)], *kept)
+
+
 def _weights(weight: Column | None) -> list[Column]:
     return [] if weight is None else [weight.cast("double").alias("_w")]
 
@@ -34,7 +39,7 @@ def histogram(df: DataFrame, x: Column, bins: int, low: float, high: float, weig
     aggregates = [F.count("*").alias("n")]
     if weight is not None:
         aggregates += [F.sum("_w").alias("sumw"), F.sum(F.col("_w") * F.col("_w")).alias("sumw2")]
-    filled = df.select(bin_of(x, bins, low, high, closed_right).alias("bin"), *_weights(weight)).where("bin is not null").groupBy("bin").agg(*aggregates)
+    filled = _valued(df, [x], *_weights(weight)).withColumn("bin", bin_of(F.col("_x0"), bins, low, high, closed_right)).where("bin is not null").groupBy("bin").agg(*aggregates)
     width = (high - low) / bins
     axis = df.sparkSession.range(bins).select(F.col("id").alias("bin"), (F.lit(low) + F.col("id") * width).alias("low"), (F.lit(low) + (F.col("id") + 1) * width).alias("high"))
     out = axis.join(filled, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
@@ -45,7 +50,8 @@ def histogramdd(df: DataFrame, axes: list[tuple[Column, int, float, float]], wei
     """(bin0, bin1, ..., n) or sumw: all bins of a grid."""
     names = [f"bin{i}" for i in range(len(axes))]
     value = (F.count("*") if weight is None else F.sum("_w")).alias("n" if weight is None else "sumw")
-    filled = df.select(*[bin_of(*axis).alias(n) for axis, n in zip(axes, names, strict=True)], *_weights(weight))
+    filled = _valued(df, [axis[0] for axis in axes], *_weights(weight))
+    filled = filled.withColumns({n: bin_of(F.col(f"_x{i}"), *axis[1:]) for i, (axis, n) in enumerate(zip(axes, names, strict=True))})
     filled = filled.where(reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names])).groupBy(*names).agg(value)
     grid = df.sparkSession.range(1)
     for (_, bins, _, _), n in zip(axes, names, strict=True):
@@ -62,5 +68,6 @@ def variations(df: DataFrame, axis: str, values: dict[str, Column]) -> DataFrame
 
 def histograms_by(df: DataFrame, axis: str, x: Column, bins: int, low: float, high: float, weight: Column | None = None, closed_right: bool = True) -> DataFrame:
     """(axis, bin, n[, sumw]) of the bins that have rows, for every value of the axis in one job."""
-    filled = df.select(axis, bin_of(x, bins, low, high, closed_right).alias("bin"), (weight if weight is not None else F.lit(1.0)).cast("double").alias("_w")).where("bin is not null")
+    filled = _valued(df, [x], F.col(axis), (weight if weight is not None else F.lit(1.0)).cast("double").alias("_w"))
+    filled = filled.withColumn("bin", bin_of(F.col("_x0"), bins, low, high, closed_right)).where("bin is not null")
     return filled.groupBy(axis, "bin").agg(F.count("*").alias("n"), *[F.sum("_w").alias("sumw")] * (weight is not None))

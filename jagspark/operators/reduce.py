@@ -128,10 +128,9 @@ def partial_fold(combine: Callable) -> Callable:
         import pandas as pd
 
         held = None
-        for frame in frames:
-            for i in range(len(frame)):
-                row = frame.iloc[i : i + 1]
-                held = row if held is None else combine(pd.concat([held, row], ignore_index=True))
+        for frame in frames:  # a frame of partials at a time
+            if len(frame):
+                held = combine(frame if held is None else pd.concat([held, frame], ignore_index=True))
         if held is not None:
             yield held
 

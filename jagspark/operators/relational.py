@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.elementwise import _let
+
 HOWS = {"inner": "inner", "left": "left", "right": "right", "outer": "full"}
 
 
@@ -107,6 +109,18 @@ def bincount(df: DataFrame, column: str) -> DataFrame:
 
 
 def searchsorted(sorted_values: Column, x: Column, side: str = "left") -> Column:
-    """Where x would go in a sorted list column: before equal elements (left) or after them (right)."""
-    before = (lambda t: t < x) if side == "left" else (lambda t: t <= x)
-    return F.size(F.filter(sorted_values, before))
+    """Where x would go in a sorted list column, by halving: before equal elements (left) or after them (right)."""
+
+    def halve(state: Column, values: Column) -> Column:
+        middle = F.floor((state["low"] + state["high"]) / 2).cast("int")
+        value = F.get(values, middle)
+        right = (state["low"] < state["high"]) & ((value < x) if side == "left" else (value <= x))
+        left = (state["low"] < state["high"]) & ~right
+        return F.struct(F.when(right, middle + 1).otherwise(state["low"]).alias("low"), F.when(left, middle).otherwise(state["high"]).alias("high"))
+
+    def of(values: Column) -> Column:
+        steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + 1)).cast("int"))
+        start = F.struct(F.lit(0).alias("low"), F.size(values).alias("high"))
+        return F.when(x.isNotNull(), F.aggregate(steps, start, lambda a, _: halve(a, values), lambda a: a["low"]))
+
+    return _let(sorted_values, of)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import traceback
+import warnings
 from collections import Counter
 
 from pyspark.sql import DataFrame
@@ -22,6 +23,20 @@ def pushed_filters(df: DataFrame) -> list[str]:
     return re.findall(r"PushedFilters: \[(.*?)\]", _plan(df))
 
 
+def check_projection(df: DataFrame, expected: list[str], on_fail: str = "warn") -> list[str]:
+    """The columns that the scans read beyond `expected`. on_fail: 'pass' returns them, 'warn' warns, 'raise' raises."""
+    if on_fail not in ("pass", "warn", "raise"):
+        raise ValueError("on_fail must be pass, warn or raise")
+    read = {f.strip().split(":")[0] for r in read_columns(df) for f in re.split(r",(?![^<]*>)", r[len("struct<") : -1]) if f}
+    more = sorted(read - set(expected))
+    if more and on_fail != "pass":
+        text = f"the plan reads more than it should: {', '.join(more)}"
+        if on_fail == "raise":
+            raise ValueError(text)
+        warnings.warn(text, stacklevel=2)
+    return more
+
+
 def operators(df: DataFrame) -> Counter:
     """How often each physical operator occurs."""
     return Counter(re.findall(r"^[\s:+\-*()\d]*([A-Z]\w+)", _plan(df), re.M))

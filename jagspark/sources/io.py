@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -74,17 +76,28 @@ def from_parquet(spark: SparkSession, path: str | Sequence[str], columns: Sequen
     df = spark.read.schema(schema).parquet(*files)
     if ordinal is None:
         return df
+    # metadata names files as encoded URIs; they are matched whole, as the listing names them
     rows = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    counts = {r["_file"]: r["count"] for r in rows.groupBy("_file").count().collect()}  # one row a file
-    placed = sorted(counts, key=lambda f: next((i for i, g in enumerate(files) if f.split("://")[-1].split("file:")[-1].rstrip("/").endswith(g.split(":")[-1].lstrip("/"))), len(files)))
+    counts = {_plain(unquote(r["_file"])): (r["_file"], r["count"]) for r in rows.groupBy("_file").count().collect()}  # one row a file
+    listed = {_plain(f) for f in files}
+    if not counts.keys() <= listed:
+        raise ValueError(f"the scan names files that the listing lacks: {sorted(counts.keys() - listed)[:3]}")
+    if len(listed) < len(files):
+        raise ValueError("a file is listed twice: its rows have no one place")
     offsets, at = [], 0
-    for f in placed:
-        offsets.append((f, at))
-        at += counts[f]
+    for f in files:
+        if name := counts.get(_plain(f)):  # a file without rows has no place
+            offsets.append((name[0], at))
+            at += name[1]
     table = spark.createDataFrame(offsets, "_file string, _offset long")
     return rows.join(table, "_file").withColumn(ordinal, F.col("_offset") + F.col("_row")).drop("_file", "_row", "_offset")
 
 
+def _plain(uri: str) -> str:
+    """A path as the listing names it: a local one with one slash after its scheme."""
+    return re.sub(r"^file:/+", "file:/", uri)
+
+
 def from_parquet_flat(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
     """The same for flat columns only: a nested one is refused by name."""
     df = from_parquet(spark, path, columns)
@@ -103,23 +116,42 @@ def schema_of(spark: SparkSession, path: str | Sequence[str]) -> T.StructType:
     return spark.read.parquet(discover(spark, path)[0]).schema
 
 
-def to_parquet(df: DataFrame, destination: str, partitions: int | None = None, column: str | None = None, compute: bool = True):
+def to_parquet(df: DataFrame, destination: str, partitions: int | None = None, column: str | None = None, compute: bool = True, steps_per_file: int | None = None, prefix: str = "part", ordinal: str | None = None):
     """Write parts and return their paths in order; compute=False returns the write as a function.
 
-    column: the one column to write, which must then be flat.
+    column: the one column to write, which must then be a flat number. steps_per_file: this many of the input's partitions to a file. prefix: the
+    files' names are prefix-00000.parquet and so on, in the order of the parts. ordinal: rows are dealt to parts by ranges of this column.
     """
     if column is not None:
         df = df.select(column)
-        if isinstance(df.schema[0].dataType, (T.ArrayType, T.StructType, T.MapType)):
-            raise TypeError(f"{column} is not flat")
+        if isinstance(df.schema[0].dataType, (T.ArrayType, T.StructType, T.MapType, T.StringType, T.BinaryType)):
+            raise TypeError(f"{column} is {df.schema[0].dataType.simpleString()}, not a flat number")
 
     def write() -> list[str]:
-        (df if partitions is None else df.repartition(partitions)).write.mode("overwrite").parquet(destination)
-        return discover(df.sparkSession, destination)
+        parts = df
+        if steps_per_file is not None:
+            parts = df.coalesce(max(1, -(-df.rdd.getNumPartitions() // steps_per_file)))
+        elif ordinal is not None:
+            parts = df.repartitionByRange(*([partitions] if partitions else []), ordinal).sortWithinPartitions(ordinal)
+        elif partitions is not None:
+            parts = df.repartition(partitions)
+        parts.write.mode("overwrite").parquet(destination)
+        return _renamed(df.sparkSession, discover(df.sparkSession, destination), destination, prefix)
 
     return write() if compute else write
 
 
+def _renamed(spark: SparkSession, files: list[str], destination: str, prefix: str) -> list[str]:
+    """Spark's part files, in the order of their numbers, under plain names."""
+    out = []
+    for i, f in enumerate(files):
+        old, fs = _fs(spark, f)
+        new, _ = _fs(spark, f"{destination.rstrip('/')}/{prefix}-{i:05d}.parquet")
+        fs.rename(old, new)
+        out.append(str(fs.makeQualified(new)))
+    return out
+
+
 def from_record(spark: SparkSession, **columns) -> DataFrame:
     """Named columns of equal length, with `ordinal` from 0."""
     frame = pd.DataFrame({k: list(v) if np.ndim(v) > 1 else v for k, v in columns.items()})
@@ -250,6 +282,11 @@ class Sources:
         return list(self._held)
 
 
+def partition_datasets(spark: SparkSession, datasets: dict[str, str | Sequence[str]], steps_per_file: int = 1) -> dict[str, list[tuple[str, int, int]]]:
+    """make_partitions of several named datasets."""
+    return {name: make_partitions(spark, path, steps_per_file) for name, path in datasets.items()}
+
+
 def make_partitions(spark: SparkSession, path: str | Sequence[str], steps_per_file: int = 1) -> list[tuple[str, int, int]]:
     """(file, step, steps): blind parts, whose rows are known when read."""
     return [(f, i, steps_per_file) for f in discover(spark, path) for i in range(steps_per_file)]

@@ -227,16 +227,109 @@ def test_opaque_functions(spark):
 
 def test_runs_resume_and_fail_softly(spark, files, tmp_path):
     store = str(tmp_path / "store")
-    stopped = P.run_resumable(spark, f"{files}/f*.parquet", lambda df: df.select("x"), store, files_per_batch=1, stop=P.StopCondition(rows=6))
+    step = lambda df: df.select("x")
+    stopped = P.run_resumable(spark, f"{files}/f*.parquet", step, store, files_per_batch=1, stop=P.StopCondition(rows=6))
     assert stopped.stopped and len(stopped.done) == 1
-    again = P.run_resumable(spark, f"{files}/f*.parquet", lambda df: df.select("x"), store, files_per_batch=1)
-    assert len(again.skipped) == 1 and len(again.done) == 2 and spark.read.parquet(store).count() == 15
+    again = P.run_resumable(spark, f"{files}/f*.parquet", step, store, files_per_batch=2)
+    assert again.run == stopped.run and len(again.skipped) == 1 and len(again.done) == 1 and P.results(spark, store, again.run).count() == 15
+    assert not P.run_resumable(spark, f"{files}/f*.parquet", step, store, files_per_batch=3).done
+    other = P.run_resumable(spark, f"{files}/f*.parquet", lambda df: df.select("x").where("x < 100"), store)
+    assert other.run != again.run and len(other.done) == 1 and P.results(spark, store, other.run).count() < 15
+    assert P.results(spark, store, again.run).count() == 15
 
     def bad(df):
-        return df.select(F.when(F.col("x") >= 200, F.raise_error(F.lit("bad row"))).otherwise(F.col("x")).alias("x"))
+        return df.select(F.when(F.col("x") == 203, F.raise_error(F.lit("bad row"))).otherwise(F.col("x")).alias("x"))
+
+    out = P.run_resumable(spark, f"{files}/f*.parquet", bad, str(tmp_path / "bad"), files_per_batch=3, policy=P.Retry(again=0, split=False))
+    assert len(out.dead) == 1 and not out.done
+    out = P.run_resumable(spark, f"{files}/f*.parquet", bad, str(tmp_path / "bad"), files_per_batch=3, policy=P.Retry(again=0, fresh=True))
+    assert len(out.dead) == 1 and "bad row" in out.dead[0]["message"] and out.dead[0]["high"] - out.dead[0]["low"] == 1
+    assert P.results(spark, str(tmp_path / "bad"), out.run).count() == 14
+
+
+def test_a_batch_that_failed_before_is_not_counted_twice(spark, tmp_path):
+    """Halves are committed while the whole fails; later the whole would succeed, in batches of another size too."""
+    for i in range(2):
+        spark.createDataFrame([(i * 100 + k,) for k in range(4)], "x long").coalesce(1).write.parquet(str(tmp_path / f"in/f{i}.parquet"))
+    files = [IO.discover(spark, str(tmp_path / f"in/f{i}.parquet"))[0] for i in range(2)]
+    flag = tmp_path / "broken"
+    flag.write_text("")
+
+    @F.udf("boolean")
+    def ok(x):
+        if flag.exists() and x == 102:
+            raise ValueError("not now")
+        return True
+
+    step = lambda df: df.where(ok("x"))
+    store = str(tmp_path / "store")
+    first = P.run_resumable(spark, files, step, store, files_per_batch=2, policy=P.Retry(again=0))
+    assert len(first.dead) == 1 and sorted(r.x for r in P.results(spark, store, first.run).collect()) == [0, 1, 2, 3, 100, 101, 103]
+    flag.unlink()
+    for size in (2, 1):
+        P.run_resumable(spark, files, step, store, files_per_batch=size, policy=P.Retry(again=0))
+        assert sorted(r.x for r in P.results(spark, store, first.run).collect()) == [0, 1, 2, 3, 100, 101, 102, 103]
+
+
+def test_ordinals_follow_the_files_whatever_their_names(spark, tmp_path):
+    names = ["z 1", "y+2", "x%203", "w 4", "1", "ü 5"]
+    paths = []
+    for k, n in enumerate(names):
+        spark.createDataFrame([(k * 10 + i,) for i in range(2)], "x long").coalesce(1).write.parquet(str(tmp_path / f"a b/{n}"))
+        paths += IO.discover(spark, str(tmp_path / f"a b/{n}"))
+    rows = {r.o: r.x for r in IO.from_parquet(spark, paths, ordinal="o").collect()}
+    assert [rows[i] for i in range(12)] == [k * 10 + i for k in range(6) for i in range(2)]
+    with pytest.raises(ValueError, match="twice"):
+        IO.from_parquet(spark, [paths[0], paths[0]], ordinal="o")
+
+
+def test_sinks_name_their_parts(spark, tmp_path):
+    df = spark.range(100).repartition(6)
+    where = str(tmp_path / "out")
+    later = IO.to_parquet(df, where, steps_per_file=2, prefix="ev", compute=False)
+    assert not (tmp_path / "out").exists()
+    files = later()
+    assert [f.rsplit("/", 1)[1] for f in files] == [f"ev-{i:05d}.parquet" for i in range(3)] and IO.num_rows(spark, where) == 100
+    files = IO.to_parquet(df, where, partitions=4, ordinal="id")
+    assert [r.id for r in IO.from_parquet(spark, files, ordinal="o").orderBy("o").collect()] == list(range(100))
+    assert len(IO.partition_datasets(spark, {"a": where, "b": files[:1]}, 2)["a"]) == 8
+    with pytest.raises(TypeError):
+        IO.to_parquet(spark.createDataFrame([("a",)], "s string"), where, column="s")
+
+
+@pytest.mark.parametrize(
+    "value, kind, make, want",
+    [
+        ([], "array<double>", lambda c: R.min(c, mask_identity=False), math.inf), ([], "array<double>", lambda c: R.max(c, mask_identity=False), -math.inf), ([], "array<int>", lambda c: R.argmin(c, mask_identity=False), -1),
+        ([2**31 - 1, 1], "array<int>", R.sum, 2**31), ([2**53, 1], "array<long>", R.sum, 2**53 + 1), ([3, 4], "array<int>", R.prod, 12), ([True, True, None], "array<boolean>", lambda c: R.sum(c, dtype="long"), 2),
+        ([1, 2, 3], "array<int>", R.running, [1, 3, 6]), ([0.5, 0.25], "array<double>", R.running, [0.5, 0.75]), ([], "array<int>", R.running, []), ([1, None], "array<int>", lambda c: R.zeros_like(c, None), [0, None]),
+        ([4, 5], "array<int>", lambda c: R.broadcast_arrays([c, F.lit(7), c], [True, False, True])[1], [7, 7]), ([1.0, 3.0], "array<double>", lambda c: R.std(c, keepdims=True), [1.0]),
+    ],
+)
+def test_reducer_parameters(spark, value, kind, make, want):
+    got = one(spark, value, kind, make)
+    assert got == want and type(got) is type(want)
+
+
+def test_long_lists_take_linear_time(spark):
+    x = np.random.default_rng(5).normal(size=20_000)
+    row = spark.createDataFrame([(x.tolist(),)], "c array<double>").select(R.softmax(F.col("c")), R.var(F.col("c")), R.running(F.col("c"))).first()
+    assert np.allclose(row[0], np.exp(x) / np.exp(x).sum()) and math.isclose(row[1], x.var()) and np.allclose(row[2], x.cumsum())
+
+
+def test_projection_modes(spark, tmp_path):
+    spark.createDataFrame([(1, 2, 3)], "a int, b int, c int").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t")).select("a", "b")
+    assert Q.check_projection(df, ["a", "b"], "raise") == [] and Q.check_projection(df, ["a"], "pass") == ["b"]
+    with pytest.warns(UserWarning, match="b"):
+        Q.check_projection(df, ["a"])
+    with pytest.raises(ValueError, match="b"):
+        Q.check_projection(df, ["a"], "raise")
+
 
-    out = P.run_resumable(spark, f"{files}/f*.parquet", bad, str(tmp_path / "bad"), files_per_batch=3, retries=0)
-    assert len(out.dead) == 1 and "bad row" in out.dead[0]["message"] and spark.read.parquet(str(tmp_path / "bad")).count() == 10
+def test_whole_scans_stay_whole(spark):
+    df = spark.createDataFrame([(i, 2**53 + 1 if i == 0 else 1) for i in range(10)], "o long, x long")
+    assert [r.cumsum for r in B.scan(df, "o", "x").orderBy("o").collect()] == [2**53 + 1 + i for i in range(10)]
 
 
 def test_bundle(spark, tmp_path):
