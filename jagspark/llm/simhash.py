@@ -215,9 +215,9 @@ def links(prints: DataFrame, most: int = MOST, agree: int = AGREE) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def stars_of(edges: DataFrame) -> DataFrame:
+def _contracted(edges: DataFrame) -> DataFrame:
     """(a, b): each linked node a and the least node b of its component, by alternating large and small stars."""
-    edges, before = stored(edges, "simhash-links"), None
+    before = None
     while True:
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -231,6 +231,34 @@ def stars_of(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _between(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """The edges that join two components of labels, as edges of their least nodes."""
+    to = lambda c: labels.select(F.col("a").alias(c), F.col("b").alias(f"{c}_root"))
+    named = edges.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_root", "a").alias("x"), F.coalesce("b_root", "b").alias("y"))
+    return stored(named.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "simhash-links")
+
+
+def _relabelled(labels: DataFrame, roots: DataFrame) -> DataFrame:
+    """labels after their least nodes, and nodes without a label, have been joined as `roots` says."""
+    moved = labels.join(roots.select(F.col("a").alias("b"), F.col("b").alias("root")), "b", "left").select("a", F.coalesce("root", "b").alias("b"))
+    return stored(moved.unionAll(roots.join(labels.select("a"), "a", "left_anti").select("a", "b")), "simhash-stars")
+
+
+def stars_of(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(a, b): each linked node a and the least node b of its component, of the edges and what `labels` has joined before.
+
+    Each round keeps one edge a node, that to its least neighbour, contracts the trees so made, and goes on with the edges between them, so that
+    the alternating stars run over as many rows as there are nodes, however many edges a dense component has.
+    """
+    edges = stored(edges, "simhash-links") if labels is None else _between(edges, labels)
+    while labels is None or not edges.isEmpty():
+        both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        roots = _contracted(both.groupBy("a").agg(F.min("b").alias("b")).where("b < a"))
+        labels = roots if labels is None else _relabelled(labels, roots)
+        edges = _between(edges, roots)
+    return labels
+
+
 def _classes(docs: DataFrame, width: int, most: int, agree: int) -> tuple[DataFrame, DataFrame]:
     """The rows with their prints, and (print, root, component_id) of every print."""
     prints = stored(fingerprints(docs, width), "simhash-prints")
@@ -393,7 +421,7 @@ def _same(members: DataFrame, most: int, shingle: int, least: float) -> DataFram
     some = named(first).join(some, "node", "left_semi")
     sizes = some.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).select("family", _blocks().alias("blocks"))
     some = some.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("string"))
-    second = stars_of(first.unionAll(_met(some.withColumns({"i": F.col("block"), "j": F.col("block")}), most, shingle, least)))
+    second = stars_of(_met(some.withColumns({"i": F.col("block"), "j": F.col("block")}), most, shingle, least), first)
     # all others: blocks of one class do not meet, blocks of a class and mixed blocks of the small classes do
     rows = stored(named(second), "near-large")
     classes = rows.groupBy("family", "label").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).withColumn("pure", (F.col("n") >= BLOCK_ROWS) | (F.col("bytes") >= BLOCK_BYTES))
@@ -412,7 +440,7 @@ def _same(members: DataFrame, most: int, shingle: int, least: float) -> DataFram
     own = F.when(pure.isNull(), F.concat(F.lit("mixed:"), at(F.col("mixed")).cast("string"))).otherwise(F.concat(F.col("label").cast("string"), F.lit(":"), at(pure).cast("string")))
     dealt = rows.join(plan, "family").withColumn("block", own).withColumn("other", F.explode(F.concat(mixes, others)))
     dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    return stars_of(second.unionAll(_met(dealt, most, shingle, least)))
+    return stars_of(_met(dealt, most, shingle, least), second)
 
 
 def near_copies(docs: DataFrame, most: int = MOST, agree: int = 2, shingle: int = 5, least: float = 0.8, count: int = FINGERPRINTS) -> DataFrame:
