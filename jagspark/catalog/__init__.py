@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import arrays, elementwise, external, ladder, ragged
+from . import arrays, elementwise, external, ladder, plans, ragged
 
-MODULES = [elementwise, ragged, arrays, ladder, external]
+MODULES = [elementwise, ragged, arrays, ladder, external, plans]
 
 
 def queries() -> dict:

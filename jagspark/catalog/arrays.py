@@ -80,6 +80,9 @@ _REDUCE = {
     "corr": (lambda: D.PAIRED["corr"](F.col("v"), F.col("user_id")), "corr(v, user_id)"),
     "covar": (lambda: D.PAIRED["covar"](F.col("v"), F.col("user_id")), "covar_pop(v, user_id)"),
     "linear_fit": (lambda: D.linear_fit(F.col("v"), F.col("user_id").cast("double"))["slope"], "regr_slope(v, user_id)"),
+    "linear_fit_intercept": (lambda: D.linear_fit(F.col("v"), F.col("user_id").cast("double"))["intercept"], "regr_intercept(v, user_id)"),
+    "linear_fit_intercept_error": (lambda: D.linear_fit(F.col("v"), F.col("user_id").cast("double"))["intercept_error"], "sqrt(sum(user_id::DOUBLE * user_id) / (count(*) * sum(user_id::DOUBLE * user_id) - pow(sum(user_id::DOUBLE), 2)))"),
+    "linear_fit_slope_error": (lambda: D.linear_fit(F.col("v"), F.col("user_id").cast("double"))["slope_error"] * 1000, "1000 * sqrt(count(*) / (count(*) * sum(user_id::DOUBLE * user_id) - pow(sum(user_id::DOUBLE), 2)))"),
     "mean_weighted": (lambda: D.weighted_mean(F.col("v"), F.col("user_id")), "sum(v * user_id) / sum(user_id)"),
 }
 for _name, (_column, _sql) in _REDUCE.items():
@@ -268,12 +271,13 @@ def _hist_systematics(spark, sf_dir):
 
 def _sides(spark, sf_dir):
     left = _read(spark, sf_dir, "orders").select(F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey")).alias("k"), F.col("o_orderkey").alias("lv"))
-    right = _read(spark, sf_dir, "customer").where("c_custkey % 3 = 0 or c_custkey % 100 = 7").select(F.when(F.col("c_custkey") % 100 != 7, F.col("c_custkey") + 5).alias("k"), F.col("c_custkey").alias("rv"))
+    c = F.col("c_custkey")
+    right = _read(spark, sf_dir, "customer").select(F.when((c % 100 != 7) & (c % 3 == 0), c + 5).when(c % 100 != 7, c + 10_000_000).alias("k"), c.alias("rv"))
     return left, right
 
 
 _SIDES = """WITH l AS (SELECT CASE WHEN o_custkey % 7 <> 0 THEN o_custkey END AS k, o_orderkey AS lv FROM orders),
-r AS (SELECT CASE WHEN c_custkey % 100 <> 7 THEN c_custkey + 5 END AS k, c_custkey AS rv FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 100 = 7)"""
+r AS (SELECT CASE WHEN c_custkey % 100 = 7 THEN NULL WHEN c_custkey % 3 = 0 THEN c_custkey + 5 ELSE c_custkey + 10000000 END AS k, c_custkey AS rv FROM customer)"""
 for _how, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("outer", "FULL JOIN")):
     _add(f"join_{_how}", f"{_SIDES} SELECT k, count(lv) AS n, coalesce(sum(lv), -1)::BIGINT AS lv, coalesce(sum(rv), -1)::BIGINT AS rv, count(*) AS rows FROM (SELECT coalesce(l.k, r.k, -1) AS k, lv, rv FROM l {_sql} r ON coalesce(l.k, -1) = coalesce(r.k, -1)) GROUP BY k")(
         lambda spark, sf_dir, h=_how: J.join(*_sides(spark, sf_dir), "k", h).groupBy(F.coalesce("k", F.lit(-1)).alias("k")).agg(F.count("lv").alias("n"), F.coalesce(F.sum("lv"), F.lit(-1)).alias("lv"), F.coalesce(F.sum("rv"), F.lit(-1)).alias("rv"), F.count("*").alias("rows"))
@@ -305,11 +309,23 @@ def _route(spark, sf_dir):
     return _read(spark, sf_dir, "orders").select("o_orderkey", J.route(F.col("o_orderkey"), 16).alias("part"))
 
 
-@_add("repartition_by_key", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1")
+@_add("repartition_by_key", "SELECT o_custkey, count(*) AS n, 1::BIGINT AS places FROM orders GROUP BY 1")
 def _repartition(spark, sf_dir):
-    return J.repartition(_read(spark, sf_dir, "orders"), by="o_custkey").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    """Every key lies in one part."""
+    placed = J.repartition(_read(spark, sf_dir, "orders"), by="o_custkey", n=13).select("o_custkey", F.spark_partition_id().alias("part"))
+    each = placed.groupBy("o_custkey", "part").agg(F.count("*").alias("n"))
+    return each.groupBy("o_custkey").agg(F.sum("n").alias("n"), F.count("*").alias("places"))
 
 
-@_add("repartition_target_bytes", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+@_add("repartition_n", "SELECT 6::BIGINT AS parts, count(*)::BIGINT AS n, true AS even FROM orders")
+def _repartition_n(spark, sf_dir):
+    """As many parts as asked for, of about equal size."""
+    each = J.repartition(_read(spark, sf_dir, "orders"), n=6).select(F.spark_partition_id().alias("part")).groupBy("part").agg(F.count("*").alias("n"))
+    return each.agg(F.count("*").alias("parts"), F.sum("n").alias("n"), (F.max("n") <= F.min("n") * 1.2 + 20).alias("even"))
+
+
+@_add("repartition_target_bytes", "SELECT o_orderstatus, count(*) AS n, true AS several FROM orders GROUP BY 1")
 def _repartition_bytes(spark, sf_dir):
-    return J.repartition(_read(spark, sf_dir, "orders"), target_bytes=16 << 20).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    """A small target makes several parts; no row is lost."""
+    cut = J.repartition(_read(spark, sf_dir, "orders"), target_bytes=16 << 10)
+    return cut.groupBy("o_orderstatus").agg(F.count("*").alias("n"), (F.lit(cut.rdd.getNumPartitions()) > 1).alias("several"))

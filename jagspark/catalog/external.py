@@ -110,4 +110,4 @@ _cell("reg_hstack", "2 * list_sum(list_transform(embedding, lambda x: x::DOUBLE)
 _cell("reg_clip", "list_sum(list_transform(embedding, lambda x: least(greatest(x::DOUBLE, -0.1::DOUBLE), 0.05::DOUBLE)))", lambda c: _total(F.transform(c, lambda x: G.clip(x, -0.1, 0.05))))
 _cell("reg_round", "list_sum(list_transform(embedding, lambda x: round_even(x::DOUBLE * 100, 0) / 100))", lambda c: _total(F.transform(c, lambda x: G.round(x, 2))))
 _cell("reg_astype", "list_sum(list_transform(embedding, lambda x: trunc(x::DOUBLE * 100)))", lambda c: _total(F.transform(c, lambda x: G.astype(x.cast("double") * 100, "int"))))
-_cell("reg_cumsum_inner", "list_sum(list_transform(list_zip(embedding, range(64, 0, -1)), lambda p: p[1]::DOUBLE * p[2]))", lambda c: _total(F.transform(c, lambda x, i: R.sum(F.slice(c, 1, i + 1)))))
+_cell("reg_cumsum_inner", "list_sum(list_transform(list_zip(embedding, range(64, 0, -1)), lambda p: p[1]::DOUBLE * p[2]))", lambda c: _total(R.running(c, "double")))

@@ -44,6 +44,13 @@ SCALARS: dict[str, tuple[Callable[[_Columns], Column], str]] = {
     "covar": (lambda c: R.covar(c.QTY, c.X), "covar_pop(qty, x)"),
     "corr": (lambda c: F.when(F.size(c.QTY) > 2, R.corr(c.QTY, c.N)), "CASE WHEN count(*) > 2 AND count(qty) > 2 AND var_pop(qty) > 0 AND var_pop(n) > 0 THEN corr(qty, n) END"),
     "linear_fit": (lambda c: R.linear_fit(c.N, c.QTY)["slope"], "CASE WHEN var_pop(n) > 0 THEN regr_slope(qty, n) END"),
+    "linear_fit_intercept": (lambda c: R.linear_fit(c.N, c.QTY)["intercept"], "CASE WHEN var_pop(n) > 0 THEN regr_intercept(qty, n) END"),
+    "linear_fit_slope_error": (lambda c: F.nullif(R.linear_fit(c.N, c.QTY)["slope_error"], F.lit(float("inf"))), "CASE WHEN count(n) * sum(n * n) > sum(n) * sum(n) THEN sqrt(count(n) / (count(n) * sum(n * n) - sum(n) * sum(n))::DOUBLE) END"),
+    "linear_fit_intercept_error": (lambda c: F.nullif(R.linear_fit(c.N, c.QTY)["intercept_error"], F.lit(float("inf"))), "CASE WHEN count(n) * sum(n * n) > sum(n) * sum(n) THEN sqrt(sum(n * n) / (count(n) * sum(n * n) - sum(n) * sum(n))::DOUBLE) END"),
+    "sum_whole": (lambda c: R.sum(F.transform(c.N, lambda n: n * 100000007)), "coalesce(sum(n::BIGINT * 100000007), 0)"),
+    "min_identity": (lambda c: F.least(R.min(c.M, mask_identity=False), F.lit(1e6)), "coalesce(min(m), 1000000)"),
+    "max_identity": (lambda c: F.greatest(R.max(c.M, mask_identity=False), F.lit(-1e6)), "coalesce(max(m), -1000000)"),
+    "argmin_identity": (lambda c: R.argmin(c.M, mask_identity=False), "coalesce(min_by(pos, (m, pos)) FILTER (m IS NOT NULL), -1)"),
     "argmin": (lambda c: R.argmin(c.QTY), "min_by(pos, (qty, pos))"),
     "argmax": (lambda c: R.argmax(c.QTY), "min_by(pos, (-qty, pos))"),
     "num": (lambda c: R.num(c.QTY), "count(k2)"),
@@ -53,7 +60,6 @@ SCALARS: dict[str, tuple[Callable[[_Columns], Column], str]] = {
     "combinations3_num": (lambda c: F.size(R.combinations(c.N, 3)), "(count(k2) * (count(k2) - 1) * (count(k2) - 2)) // 6"),
     "combinations_replacement_num": (lambda c: F.size(R.combinations(c.N, 2, replacement=True)), "(count(k2) * (count(k2) + 1)) // 2"),
     "argcartesian_num": (lambda c: F.size(R.argcartesian([c.M, c.N])), "count(k2) * count(k2)"),
-    "singletons": (lambda c: F.size(R.singletons(F.when(F.col("met") > 100000, F.col("met")))), "CASE WHEN any_value(met) > 100000 THEN 1 ELSE 0 END"),
 }
 
 #: Name: a list per order, shown as (k, pos, r), and the same rows from the lineitems.
@@ -72,6 +78,21 @@ LISTS: dict[str, tuple[Callable[[_Columns], Column], str]] = {
         lambda c: F.transform(R.cartesian([c.QTY, c.TAX], nested=True), lambda t: R.sum(F.transform(t, lambda s: s["0"] * s["1"]))),
         "SELECT a.k, a.pos, sum(a.qty * b.tax) AS r FROM li a JOIN li b ON a.k = b.k GROUP BY a.k, a.pos",
     ),
+    "argcartesian": (
+        lambda c: F.transform(R.argcartesian([c.M, c.N]), lambda t: t["0"] * 100 + t["1"]),
+        "SELECT a.k, a.pos * a.size + b.pos AS pos, a.pos * 100 + b.pos AS r FROM li a JOIN li b ON a.k = b.k",
+    ),
+    "combinations_replacement": (
+        lambda c: F.transform(R.argcombinations(c.N, 2, replacement=True), lambda t: t["0"] * 100 + t["1"]),
+        "SELECT a.k, row_number() OVER (PARTITION BY a.k ORDER BY a.pos, b.pos) - 1 AS pos, a.pos * 100 + b.pos AS r FROM li a JOIN li b ON a.k = b.k AND a.pos <= b.pos",
+    ),
+    "singletons": (lambda c: R.singletons(F.when(F.col("met") > 100000, F.col("met"))), "SELECT k, 0 AS pos, met AS r FROM ev WHERE met > 100000"),
+    "running": (lambda c: R.running(c.QTY), "SELECT k, pos, sum(qty) OVER (PARTITION BY k ORDER BY pos) AS r FROM li"),
+    "broadcast_arrays_three": (
+        lambda c: F.transform(R.zip(dict(zip("abc", R.broadcast_arrays([c.QTY, F.col("met"), c.TAX], [True, False, True])))), lambda s: s["a"] + s["b"] * s["c"]),
+        "SELECT k, pos, qty + met * tax AS r FROM li",
+    ),
+    "zeros_like_own_type": (lambda c: R.zeros_like(c.N, None), "SELECT k, pos, 0 AS r FROM li"),
     "zip": (lambda c: F.transform(R.zip({"a": c.QTY, "m": F.col("met")}, scalars=["m"]), lambda s: s["a"] + s["m"]), "SELECT k, pos, qty + met AS r FROM li"),
     "unzip": (lambda c: R.unzip(F.col("items"), "disc")[0], "SELECT k, pos, disc AS r FROM li"),
     "with_field": (lambda c: F.transform(R.with_field(F.col("items"), c.X, "z"), lambda s: s["z"] + s["qty"]), "SELECT k, pos, x + qty AS r FROM li"),

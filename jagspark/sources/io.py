@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Iterator, Sequence
 from urllib.parse import unquote
 
@@ -40,6 +41,25 @@ def discover(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
     return sorted(files)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    where, fs = _fs(spark, path)
+    return fs.getFileStatus(where).isDirectory()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir); a local session without one gets its own."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        return where.rstrip("/")
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not held.isDefined():
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="jagspark-"))
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return held.get().rstrip("/")
+
+
 def narrowed(schema: T.StructType, columns: Sequence[str] | None) -> T.StructType:
     """The schema with just the named leaves, given as paths like 'met' or 'jets.pt', in schema order."""
     if columns is None:
