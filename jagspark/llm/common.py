@@ -101,6 +101,23 @@ def one_of_each(docs: DataFrame, gone: DataFrame, repeated: DataFrame, sha: Colu
     return left.join(repeated, key, "left_anti").select(*columns).unionAll(several.select("row.*"))
 
 
+#: A key is hot when it has this share of the rows (and HOT_ROWS at least), so that there are at most 1 / HOT_SHARE hot keys.
+HOT_SHARE, HOT_ROWS = 0.001, 1000
+
+
+def hot_rows(n: int) -> int:
+    """From how many rows on a key is hot in a table of n rows."""
+    return max(HOT_ROWS, int(n * HOT_SHARE))
+
+
+def left_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame) -> DataFrame:
+    """left's rows with right's columns; right has at most one row a key. The rows of hot keys, of which there are 1 / HOT_SHARE at most, meet a
+    broadcast of their few rows and are not shuffled; the others join as usual."""
+    hot = F.broadcast(hot.select(*on))
+    known = F.broadcast(right.join(hot, on, "left_semi"))
+    return left.join(hot, on, "left_semi").join(known, on, "left").unionByName(left.join(hot, on, "left_anti").join(right, on, "left"))
+
+
 def byte_column(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; null counts as empty. offsets has len + 1 entries and starts at 0."""
     if isinstance(column, pa.ChunkedArray):

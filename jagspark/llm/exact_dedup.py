@@ -11,11 +11,12 @@ Texts are equal when identical after deleting [\\x20\\x09-\\x0D]. Rounds:
 
 Defined results: null counts as the empty text, and empty texts are equal to each other; of equal texts the row with the most code
 points stays, then the smallest doc_id (null ids first), then, of rows that repeat a doc_id, the first in storage order; an empty
-table gives an empty result; extra columns are ignored by `groups` and kept by `deduplicate`.
+table gives an empty result; very long texts are hashed and compared whole; extra columns are ignored by `groups` and kept by `deduplicate`,
+whatever their names.
 
 At scale: messages cost about 2 + log2(range / n) bits a hash; no task gathers more than one owner's lists or one partition's
-bitmaps; a group of copies with a third of all rows is one hash per partition in the exchange and one row per task in the byte
-comparison. The suspects' hashes are broadcast only while they fit BROADCAST_HASHES (8 bytes each), else joined by a shuffle.
+bitmaps, and the number of owners follows from the rows; a group of copies with a third of all rows is one hash per partition in the exchange,
+one row per task in the byte comparison, and meets its result by a broadcast of the few hot groups. The suspects' hashes are broadcast only while they fit BROADCAST_HASHES (8 bytes each), else joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -30,9 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, one_of_each, small_batches, stored, table, text_key
+from .common import WHITE, hot_rows, left_join, one_of_each, small_batches, stored, table, text_key
 
 BROADCAST_HASHES = 4_000_000
+#: Rows of the table for an owner: bounds what a task gathers.
+OWNER_ROWS = 2_000_000
 
 
 # ---------------------------------------------------------------- Golomb-Rice coding
@@ -117,7 +120,7 @@ def prints(docs: DataFrame) -> DataFrame:
     """Round 1 and 2, stored: rows (owner null) with part, place (row identity), doc_id, size (code points of the original), print, sha; and the messages."""
     spark = docs.sparkSession
     small_batches(spark)
-    owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // OWNER_ROWS))
     rows = docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return stored(rows.mapInArrow(lambda batches: _prints(batches, owners), _PRINTS), "dedup-prints")
 
@@ -185,15 +188,16 @@ def verified(docs: DataFrame, suspects: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame) -> DataFrame:
     """One row per row of docs: part, place, doc_id, keep_id, group_size, kept, sha."""
-    both = prints(docs)
+    both, by = prints(docs), ["print", "sha"]
     shared = stored(verified(docs, suspect_hashes(both)), "dedup-groups")
     rows = both.where("owner is null").select("part", "place", "doc_id", "size", "print", "sha")
-    one = rows.join(shared, ["print", "sha"], "left").withColumns({"group_size": F.coalesce("group_size", F.lit(1).cast("long"))})
+    hot = shared.where(F.col("group_size") >= hot_rows(rows.count()))
+    one = left_join(rows, shared, by, hot).withColumns({"group_size": F.coalesce("group_size", F.lit(1).cast("long"))})
     best = (F.col("group_size") == 1) | ((F.col("size") == F.col("keep_size")) & F.col("doc_id").eqNullSafe(F.col("keep_id")))
     one = one.withColumn("best", best).withColumn("keep_id", F.when(F.col("group_size") == 1, F.col("doc_id")).otherwise(F.col("keep_id")))
     # of rows that repeat the id (and text) that stays, the first in storage order
-    ties = one.where("best and group_size > 1").groupBy("print", "sha").agg(F.min(F.struct("part", "place")).alias("first"))
-    one = one.join(ties, ["print", "sha"], "left")
+    ties = stored(one.where("best and group_size > 1").groupBy(*by).agg(F.min(F.struct("part", "place")).alias("first")), "dedup-first")
+    one = left_join(one, ties, by, hot)
     kept = F.col("best") & ((F.col("group_size") == 1) | (F.struct("part", "place") == F.col("first")))
     return one.select("part", "place", "doc_id", "keep_id", "group_size", kept.alias("kept"), "sha")
 
