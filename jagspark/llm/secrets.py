@@ -8,11 +8,11 @@ Rules (kinds in this order): assign, access, hex, as RULES has them; letters of
 Matches are leftmost and non-overlapping per kind; those below the kind's length are dropped after matching. Offsets are code points,
 ends exclusive.
 
-Defined results: null counts as the empty text, which has no findings; repeated rows and paths give repeated results; an empty table
-gives an empty result; other columns are ignored.
+Defined results: null counts as the empty text, which has no findings; repeated rows and paths give repeated results; a very long text is
+scanned whole, in time linear in its length; an empty table gives an empty result; other columns are ignored.
 
 At scale: a blob is scanned once however many paths hold it; equal blobs are combined before the shuffle, so a text that a third of
-all rows share is one row a task; the join back is by blob, one ledger row each, and splits where paths of one blob pile up.
+all rows share is one row a task; the join back is by blob, one ledger row each, and the paths of hot blobs meet a broadcast of the few.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, small_batches, stored, table
+from .common import hot_rows, left_join, new_path, small_batches, stored, table
 
 RULE_VERSION = 1
 KINDS = ("assign", "access", "hex")
@@ -80,7 +80,8 @@ class Ledger:
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
         if not hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
             return self.spark.createDataFrame([], _LEDGER)
-        return self.spark.read.schema(_LEDGER).parquet(self.path)
+        # two scans at once may both have added a blob: their findings are the same
+        return self.spark.read.schema(_LEDGER).parquet(self.path).dropDuplicates(["blob", "rule_version"])
 
     def scan(self, versions: DataFrame, path_column: str = "doc_id", text: str = "text", version: int = RULE_VERSION) -> DataFrame:
         """One row per row of versions: path_column, blob and the findings under this rule version."""
@@ -92,9 +93,12 @@ class Ledger:
         unseen = named.join(known, "blob", "left_anti") if not known.isEmpty() else named
         blobs = unseen.groupBy("blob").agg(F.first("body").alias("body"))
         blobs.mapInArrow(lambda batches: _scan(batches, version), _LEDGER).write.mode("append").option("compression", "zstd").parquet(self.path)
-        return paths.join(self.read().where(F.col("rule_version") == version), "blob", "left").withColumnRenamed("path", path_column)
+        hot = stored(paths.groupBy("blob").agg(F.count("*").alias("n")).where(F.col("n") >= hot_rows(paths.count())).select("blob"), "secret-hot")
+        found = left_join(paths, self.read().where(F.col("rule_version") == version), ["blob"], hot)
+        return found.withColumnRenamed("path", path_column)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ledger of its own for each call, or the lasting one that the session names."""
     docs = table(spark, sf_dir, "documents")
-    return Ledger(spark).scan(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    return Ledger(spark, spark.conf.get("spark.jagspark.secrets.ledger", None)).scan(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
