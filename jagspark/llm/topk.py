@@ -10,10 +10,11 @@ Shards are merged by score, then smaller vec_id.
 Defined results: vectors that are null or hold a null or non-finite component take no part, nor do rows without a vec_id; shorter vectors count as
 filled with zeros (an empty vector scores 0); the query's own id is no candidate, also where rows repeat it; of rows that repeat a
 query's id the smallest vector is the query; repeated candidates rank each; floors beyond 64 bits saturate and a score beyond 64 bits
-raises; an empty table gives an empty result; other columns are ignored.
+raises; vectors of any length are read whole; an empty table gives an empty result; other columns are ignored.
 
 At scale: rows are dealt to shards of about SHARD_ROWS by a hash of the id, queries to blocks of QUERY_BLOCK; a task holds one shard
-and one block, whatever the table's size; a shard returns k rows a query, and the merge keeps k per query before its shuffle.
+and one block, whatever the table's size, and a vector is sent once for each block. The first shard's k-th scores are floors for all others, which
+prune by them from the start. A shard returns k rows a query, and the merge keeps k per query before its shuffle.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from .common import stored, table
 SCALE = 1024.0
 K = 10
 SHARD_ROWS = 8192
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 16_384
 
 
 def matrix(column) -> np.ndarray:
@@ -59,8 +60,8 @@ class Postings:
                     top = at[np.argsort(-sizes, kind="stable")[:K]]
                     self.lists[d, sign], self.peaks[d, sign] = (at, sizes), (int(sizes.max()), top)
 
-    def search(self, own: int, query: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        """(row numbers, scores) of the best k rows other than `own`: by MaxScore."""
+    def search(self, own: int, query: np.ndarray, k: int = K, floor: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(row numbers, scores) of the best k rows other than `own`: by MaxScore. Rows that score below `floor` are not wanted."""
         rows = self.rows
         width = min(len(query), rows.shape[1])
         query = query[:width]
@@ -77,6 +78,8 @@ class Postings:
         first = first[self.ids[first] != own]
         best = np.sort(score(first))[::-1]
         threshold = best[k - 1] if len(best) >= k else None
+        if floor is not None:
+            threshold = floor if threshold is None else max(threshold, floor)
         bounds = np.array([b for b, _ in terms], dtype=np.int64 if exact else object)
         rest = np.concatenate([np.cumsum(bounds[::-1])[::-1], np.zeros(1, bounds.dtype)])  # rest[i]: bounds of terms i and after
         if threshold is None or threshold <= 0:
@@ -108,8 +111,9 @@ def _search(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
     found = {"query_id": [], "vec_id": [], "score": []}
     if len(rows) and len(queries):
         postings = Postings(rows["vec_id"].to_numpy(), matrix(rows["parts"]))
-        for own, query in zip(queries["vec_id"], matrix(queries["parts"]), strict=True):
-            at, scores = postings.search(own, query)
+        floors = [None if pd.isna(x) else int(x) for x in queries["floor"].astype(object)]
+        for own, query, floor in zip(queries["vec_id"], matrix(queries["parts"]), floors, strict=True):
+            at, scores = postings.search(own, query, floor=floor)
             found["query_id"] += [own] * len(at)
             found["vec_id"] += postings.ids[at].tolist()
             found["score"] += scores.tolist()
@@ -126,14 +130,29 @@ def search(vectors: DataFrame, every: int = 100, k: int = K, scale: float = SCAL
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(math.inf)))
     valid = vectors.where(x.isNotNull() & F.col("vec_id").isNotNull()).where(finite)
     whole = stored(valid.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v.cast("double") * F.lit(scale))).alias("parts")), "topk-vectors")
-    asked = whole.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("parts").alias("parts"))
+    asked = stored(whole.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("parts").alias("parts")), "topk-queries")
     n, q = whole.count(), asked.count()
     shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-q // QUERY_BLOCK))
     dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = whole.select("vec_id", "parts", dealt(shards).alias("shard"), spread(blocks).alias("block"))
-    right = asked.select("vec_id", "parts", dealt(blocks).alias("block"), spread(shards).alias("shard"))
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(_search, "query_id long, vec_id long, score long")
+    left = whole.select("vec_id", "parts", dealt(shards).alias("shard"))
+    right = asked.select("vec_id", "parts", dealt(blocks).alias("block"))
+    form = "query_id long, vec_id long, score long"
+
+    def looked(rows: DataFrame, queries: DataFrame) -> DataFrame:
+        rows = rows.withColumn("block", spread(blocks))
+        return rows.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInPandas(_search, form)
+
+    # the first shard is searched alone: the k-th best there is a floor for all other shards
+    first = looked(left.where("shard = 0"), right.select("*", F.lit(0).alias("shard"), F.lit(None).cast("string").alias("floor")))
+    if shards == 1:
+        found = first
+    else:
+        first = stored(first, "topk-first")
+        floors = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") >= k, F.min("score")).cast("string").alias("floor"))
+        others = right.join(floors, "vec_id", "left").select("vec_id", "parts", "block", "floor")
+        others = others.withColumn("shard", F.explode(F.sequence(F.lit(1), F.lit(shards - 1))))
+        found = first.unionAll(looked(left.where("shard > 0"), others))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
