@@ -5,7 +5,7 @@ once more if its hash-seeded uniform number falls below the rate's fraction.
 
 Defined results: a null text has size 0; a null source is a source of its own, ordered last; a source of size 0 gets target 0 and
 each of its documents is taken with rate 0; repeated rows and ties in doc_id draw the same number; a null doc_id draws as the
-text 'null'; an empty table gives an empty result; extra columns pass through `mix`.
+text 'null'; a very long text is counted whole; an empty table gives an empty result; extra columns pass through `mix`.
 
 At scale: one pass computes sizes and stores them without the text; sums are combined before the shuffle; the targets (one row a
 source) are joined by (source, salt), so that a source with a third of all rows spreads over SALTS keys.

@@ -10,7 +10,7 @@ workers and runs the FTRL updates in one task over rows in hash order, so reruns
 
 Defined results: a null or empty text is scored by its borders alone; a label that is null is no label; where labels of one doc_id
 disagree, the mean decides (0.5 or more: 1); a null doc_id is not held out and has no label; with no label at all every score is 0.5; repeated rows get equal scores;
-an empty table gives an empty result; other columns are ignored by `scores` and kept by `keep_good`.
+very long texts are scored whole, in blocks of rows; an empty table gives an empty result; other columns are ignored by `scores` and kept by `keep_good`.
 
 At scale: scoring is a map with no shuffle; the weights (2^BITS + 1 doubles, 2 MB at most) are broadcast; the training rows are
 bounded, whatever the table's size.

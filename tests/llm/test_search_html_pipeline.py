@@ -166,3 +166,26 @@ def test_pipeline_stages(spark, tmp_path):
 def test_class_names_that_tell_of_something_else_skip_nothing(name):
     assert H.parse(f"<div class='{name}'><article>kept</article></div>") == [(H.ARTICLE, "kept")]
     assert H.parse(f"<div class='{name} sidebar'>gone</div>") == [(H.SKIPPED, "gone")]
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Null and empty texts, repeated ids with equal and different texts, null ids, extra columns and an empty table, through every stage."""
+    import corpus_pipeline as C
+
+    long = lambda c, n=60: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(1, None), (2, ""), (3, " "), (4, long("a")), (4, long("b")), (4, long("b")), (None, long("c")), (5, long("d", 40_000)), (6, long("a"))]
+    docs = spark.createDataFrame([(i, t, "en", None if i == 6 else "s", 0, "u", 7) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, `key` string, copies int")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in C.STAGES[1:]:
+        out = C.stored(stage(spark, docs, str(tmp_path)), "odd")
+        nothing = stage(spark, docs.limit(0), str(tmp_path))
+        assert nothing.count() == 0 and out.columns[: len(docs.columns)] == docs.columns
+        if name == "exact_dedup":
+            # of the blank ones the longest; of equal texts the smallest id; different texts of one id stay
+            assert sorted((r.doc_id or 0, (r.text or "")[:2]) for r in out.collect()) == [(0, "c0"), (3, " "), (4, "a0"), (4, "b0"), (5, "d0")]
+            docs = out
+        elif name == "near_dedup":
+            assert out.count() == 5
+            docs = out
+    kept = C.STAGES[0][1](spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and kept.count() == 0  # without labels every score is 0.5

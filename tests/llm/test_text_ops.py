@@ -92,6 +92,20 @@ def test_ledger_scans_new_pairs_only(spark):
     assert ledger.scan(docs.limit(0)).count() == 0 and ledger.scan(docs, version=2).count() == 6 and ledger.read().count() == 7
 
 
+def test_secrets_in_a_long_text_and_a_shared_ledger(spark, tmp_path):
+    long = "x " * 300_000 + "token=abcdef1 " + "0123456789abcdef" * 2
+    rows = [(1, long, "a"), (2, "token=abcdef1", "a")] + [(10 + i, "password: hunter22", "a") for i in range(1500)]
+    docs = documents(spark, rows).selectExpr("*", "1 as blob", "2 as path")
+    where = str(tmp_path / "ledger")
+    found = {r.doc_id: r.spans for r in secrets.Ledger(spark, where).scan(docs).collect()}
+    assert len(found) == 1502 and found[1] == "assign:600000:600013,hex:600014:600046" and found[11] == "assign:0:18"
+    # as if two scans had run at once: the same blobs twice
+    spark.read.parquet(where).write.mode("append").parquet(where + "2")
+    spark.read.parquet(where).write.mode("append").parquet(where + "2")
+    both = secrets.Ledger(spark, where + "2")
+    assert both.read().count() == 3 and both.scan(docs).count() == 1502 and both.read().count() == 3
+
+
 TEXTS = [*[t for t in ODD if t], "Σας ΟΔΟΣ İ ǅ", "a <|endoftext|> b<|startoftext|>", "don't I'LL 12345 ½²", "a\x1cb\x85c​d", "<|ENDOFTEXT|>", "ﬁ é"]
 
 
@@ -232,3 +246,25 @@ def test_quality_learns_and_ignores_held_out_labels(spark):
     assert kept.columns == [*docs.columns, "score"] and {r.doc_id for r in kept.collect()} == {r.doc_id for r in out if r.predicted}
     assert {r.score for r in quality.scores(docs, labels.limit(0)).collect()} == {0.5}
     assert quality.scores(docs.limit(0), labels).count() == 0
+
+
+def test_quality_by_brute_force_and_odd_rows(spark):
+    """Scores of plain Python dot products; labels of one id that disagree count by their mean; repeated rows score alike."""
+    rows = [(i, t, "s") for i, t in enumerate(ODD)] + [(3, "one", "s"), (100, "good words of the text", "s"), (101, "&&& || ***", "s")]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(100, 1, 0), (101, 0, 0), (101, 0, 0), (101, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    weights = quality.train(docs, labels)
+    out = {}
+    for r in quality.scored(docs, weights, ["doc_id"]).collect():
+        out.setdefault(r.doc_id, []).append(r.score)
+    assert len(out[3]) == 2 and len(set(out[3])) == 1
+    for i, t, _ in rows:
+        raw = (t or "").encode()
+        made = quality.streams(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        total = weights[-1] + sum(math.fsum(weights[int(s)] for s in slots) / len(slots) for slots, _ in made if len(slots))
+        assert math.isclose(out[i][0], 1 / (1 + math.exp(-total)), rel_tol=1e-9)
+
+
+def test_mixing_counts_long_texts_whole(spark):
+    docs = documents(spark, [(1, "w " * 200_000, "a"), (2, "x" * 1_000_000, "b"), (3, None, None)])
+    assert sorted((r.doc_id, r.size) for r in mixing.measured(docs).collect()) == [(1, 200_000), (2, 1), (3, 0)]
