@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jagspark.functions import ragged as R
+from jagspark.functions import regular as G
 from jagspark.functions import udf as U
 from jagspark.operators import blocks as B
 from jagspark.operators import hist as H
@@ -364,3 +365,73 @@ def test_streaming_histogram(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted((r["bin"], r["n"]) for r in spark.table("filled").collect()) == [(i, 20) for i in range(5)]
+
+
+@pytest.mark.parametrize("cut", [slice(None, None, 2), slice(None, None, -1), slice(5, 1, -2), slice(-3, None, -3), slice(1, 100, 3), slice(-100, 4), slice(4, 2), slice(None, 3, -1)])
+def test_slices_with_steps(spark, cut):
+    for n in (0, 1, 7):
+        assert one(spark, list(range(n)), "array<int>", lambda c: G.subscript(c, cut)) == list(range(n))[cut]
+
+
+def test_inner_axes(spark):
+    a = np.arange(24)
+    for shape in ((2, 3, 4), (-1, 6), (2, -1, 4), (4, 3, -1), (8,)):
+        want = a.reshape((-1, *shape) if len(shape) == 1 else shape)
+        assert one(spark, a.tolist(), "array<int>", lambda c: G.reshape(c, *shape)) == want.tolist()
+    cube = a.reshape(2, 3, 4)
+    for axes in ((1, 0, 2), (2, 1, 0), (1, 2, 0), (2, 0, 1), (0, 2, 1)):
+        assert one(spark, cube.tolist(), "array<array<array<int>>>", lambda c: G.transpose(c, *axes)) == cube.transpose(axes).tolist()
+    assert one(spark, cube.tolist(), "array<array<array<int>>>", lambda c: G.swapaxes(c, 0, 2)) == cube.swapaxes(0, 2).tolist()
+    assert one(spark, [[1], [2]], "array<array<int>>", lambda c: G.squeeze(c, 1)) == [1, 2]
+    assert one(spark, [1, 2], "array<int>", G.expand_dims) == [[1, 2]]
+    with pytest.raises(Exception, match="shape"):
+        one(spark, [1, 2, 3], "array<int>", lambda c: G.reshape(c, 2))
+
+
+def test_corrections_of_several_axes(spark):
+    grid = {"kind": "multibinning", "inputs": [1, 2], "edges": [[0, 1, 2], [0, 10, 20, 30]], "content": [1, 2, 3, 4, 5, 6], "flow": -1}
+    tree = {"kind": "category", "input": 0, "content": {"nominal": grid, "up": {"kind": "binning", "input": 1, "edges": [0, 1, 2], "content": [grid, 7], "flow": "clamp"}}, "default": 0.5}
+    df = spark.createDataFrame([(0.5, 5.0, "up"), (1.5, 25.0, "nominal"), (1.5, 25.0, "up"), (0.5, 99.0, "nominal"), (None, 1.0, "nominal"), (0.0, 0.0, "x")], "a double, b double, s string")
+    a, b, s = (F.col(x) for x in "abs")
+    made = df.select(U.correction(tree, s, a, b), U.correction(tree, a, b, args=["nominal", "$0", "$1"])).collect()
+    assert [r[0] for r in made] == [1.0, 6.0, 7.0, -1.0, None, 0.5] and [r[1] for r in made] == [1.0, 6.0, 6.0, -1.0, None, 1.0]
+
+
+class Affine(U.Plugin):
+    kind = "affine"
+
+    def load(self, content):
+        slope, offset = np.frombuffer(content)
+        return lambda x, shift=0.0: slope * x.sum(axis=1) + offset + shift
+
+    def samples(self):
+        return [np.array([1.0, 2.0]).tobytes(), np.array([1.0, 3.0]).tobytes()]
+
+
+class Moody(Affine):
+    kind = "moody"
+
+    def content_hash(self, content):
+        return str(hash(content))
+
+
+def test_plugins(spark):
+    import pyspark.cloudpickle as pickles
+    import sys
+
+    pickles.register_pickle_by_value(sys.modules[__name__])
+    try:
+        with pytest.raises(ValueError, match="between processes"):
+            U.register_plugin(Moody())
+        U.register_plugin(Affine())
+        with pytest.raises(ValueError, match="already"):
+            U.register_plugin(Affine())
+        content = np.array([2.0, 1.0]).tobytes()
+        df = spark.createDataFrame([(1.0, 2.0), (3.0, 4.0)], "x double, y double")
+        made = U.external("affine", content, F.col("x"), F.col("y"), args=[["$0", "$1"]], kwargs={"shift": 10})
+        assert [r[0] for r in df.select(made).collect()] == [17.0, 25.0]
+        with pytest.raises(ValueError, match="not sha256:0"):
+            U.external("affine", content, F.col("x"), expected_hash="sha256:0")
+    finally:
+        U.PLUGINS.pop("affine", None)
+        pickles.unregister_pickle_by_value(sys.modules[__name__])
