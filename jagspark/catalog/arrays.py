@@ -152,7 +152,13 @@ def _take(spark, sf_dir):
 
 @_add("arr_filter", f"WITH {_EV} SELECT o, v FROM e WHERE v > 100")
 def _filter(spark, sf_dir):
-    return _events(spark, sf_dir).where("v > 100").select("o", "v")
+    return B.keep(_events(spark, sf_dir), F.col("v") > 100).select("o", "v")
+
+
+@_add("arr_position_order", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders")
+def _position_order(spark, sf_dir):
+    """A dense place for every order, in the order of its key."""
+    return B.with_position(_read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", "place").select("o_orderkey", "place")
 
 
 @_add("arr_position", "SELECT l_extendedprice AS v, count(*) AS n FROM lineitem GROUP BY 1")

@@ -97,6 +97,8 @@ LISTS: dict[str, tuple[Callable[[_Columns], Column], str]] = {
     "unzip": (lambda c: R.unzip(F.col("items"), "disc")[0], "SELECT k, pos, disc AS r FROM li"),
     "with_field": (lambda c: F.transform(R.with_field(F.col("items"), c.X, "z"), lambda s: s["z"] + s["qty"]), "SELECT k, pos, x + qty AS r FROM li"),
     "without_field": (lambda c: F.transform(R.without_field(F.col("items"), "flag", "tax"), lambda s: s["qty"]), "SELECT k, pos, qty AS r FROM li"),
+    "fields": (lambda c: F.transform(R.fields(F.col("items"), "tax", "qty"), lambda s: s["tax"] + s["qty"]), "SELECT k, pos, tax + qty AS r FROM li"),
+    "keep": (lambda c: R.keep(c.X, F.transform(c.QTY, lambda q: q > 25)), "SELECT k, row_number() OVER (PARTITION BY k ORDER BY pos) - 1 AS pos, x AS r FROM li WHERE qty > 25"),
     "local_index": (lambda c: R.local_index(c.QTY), "SELECT k, pos, pos AS r FROM li"),
     "sort": (lambda c: R.sort(c.X), "SELECT k, row_number() OVER (PARTITION BY k ORDER BY x) - 1 AS pos, x AS r FROM li"),
     "sort_descending": (lambda c: R.sort(c.X, ascending=False), "SELECT k, row_number() OVER (PARTITION BY k ORDER BY x DESC) - 1 AS pos, x AS r FROM li"),

@@ -274,6 +274,17 @@ def unzip(c, *fields: str) -> list[Column]:
     return [_c(c)[f] for f in fields]
 
 
+def fields(c, *names: str) -> Column:
+    """Lists of structs with the named fields only, in this order."""
+    return F.transform(_c(c), lambda s: F.struct(*[s[n].alias(n) for n in names]))
+
+
+def keep(c, condition) -> Column:
+    """The elements where a list of booleans holds; lists of unequal length raise, a missing condition holds for nothing."""
+    pairs = F.zip_with(_c(c), _c(condition), lambda x, k: F.struct(x.alias("x"), k.alias("k")))
+    return _same_size(_c(c), _c(condition), then=F.transform(F.filter(pairs, lambda p: F.coalesce(p["k"], F.lit(False))), lambda p: p["x"]))
+
+
 def with_field(c, value, where: str, broadcast: bool = False) -> Column:
     """Lists of structs with a field added or replaced: by another list, or by one value for all where broadcast."""
     c, value = _c(c), _c(value)

@@ -102,6 +102,14 @@ def unflatten(df: DataFrame, ordinal: str, counts: DataFrame, group: str, size:
     return counts.select(group).join(lists, group, "left").withColumn("items", F.coalesce("items", F.array().cast(f"array<{kind}>")))
 
 
+def keep(df: DataFrame, condition: Column) -> DataFrame:
+    """The rows where a boolean condition holds; a condition of another type is refused."""
+    kind = df.select(condition.alias("c")).schema[0].dataType.simpleString()
+    if kind != "boolean":
+        raise TypeError(f"a condition is boolean, not {kind}")
+    return df.where(condition)
+
+
 def take_slice(df: DataFrame, ordinal: str, start: int | None = None, stop: int | None = None, step: int = 1) -> DataFrame:
     """Rows start:stop:step of a dense ordinal; negative bounds count from the end."""
     if step < 1:
