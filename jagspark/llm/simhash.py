@@ -22,8 +22,8 @@ the row of the smallest doc_id stays, of rows that share this id and differ in t
 whose columns come first as JSON: the same on every run.
 
 At scale: texts are read once and never shuffled for op1; copies of any number are one row before the cells are made; cells above CELL_ROWS
-split further by blocks of their free bits (exactly, by the same argument); components come from alternating star steps, each stored,
-with minima combined before the shuffle. near_copies shuffles the texts that have a link. A family of linked texts of any size is first
+split further by blocks of their free bits (exactly, by the same argument); components come from pointers to least neighbours, followed by
+doubling, each round stored, with minima combined before the shuffle. near_copies shuffles the texts that have a link. A family of linked texts of any size is first
 checked in blocks of BLOCK_ROWS, each row once; a few rows of every class so found then meet across blocks; what is left, pairs of blocks that do
 not belong to one class, is checked whole, so that a large group of copies costs rows in proportion to its size and no link is lost.
 """
@@ -215,20 +215,16 @@ def links(prints: DataFrame, most: int = MOST, agree: int = AGREE) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _contracted(edges: DataFrame) -> DataFrame:
-    """(a, b): each linked node a and the least node b of its component, by alternating large and small stars."""
-    before = None
+def _contracted(forest: DataFrame) -> DataFrame:
+    """(a, b): each node a that points to a smaller one, and the node b at the end of its pointers. Each round doubles the length of a step, and
+    is one join whose right side has one row a node, so that a node that many point to can be split among tasks."""
+    at = stored(forest.select("a", "b"), "simhash-trees")
     while True:
-        both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stored(small.unionAll(least.select("a", F.col("m").alias("b"))).distinct(), "simhash-stars")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges
-        before = now
+        up = at.select(F.col("a").alias("b"), F.col("b").alias("up"))
+        moved = at.select("a", "b").join(up, "b", "left").select("a", F.coalesce("up", "b").alias("b"), F.col("up").isNotNull().alias("moved"))
+        at = stored(moved, "simhash-trees")
+        if at.where("moved").isEmpty():
+            return at.select("a", "b")
 
 
 def _between(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -247,8 +243,9 @@ def _relabelled(labels: DataFrame, roots: DataFrame) -> DataFrame:
 def stars_of(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """(a, b): each linked node a and the least node b of its component, of the edges and what `labels` has joined before.
 
-    Each round keeps one edge a node, that to its least neighbour, contracts the trees so made, and goes on with the edges between them, so that
-    the alternating stars run over as many rows as there are nodes, however many edges a dense component has.
+    Each round keeps one edge a node, that to its least neighbour if it is smaller, follows these pointers to their ends, and goes on with the
+    edges between the trees so made: rows are as many as nodes, however many edges a dense component has. A component's least node never points
+    anywhere, so it is where all its nodes end.
     """
     edges = stored(edges, "simhash-links") if labels is None else _between(edges, labels)
     while labels is None or not edges.isEmpty():
