@@ -273,6 +273,8 @@ def trie_of(path: str, head: dict) -> Trie:
 
 #: Bytes of text for an owner: bounds what a task gathers, whatever the table's size.
 OWNER_BYTES = 32 << 20
+#: Partitions for an owner: a hash deals owners to partitions, and more of these let fewer owners share one.
+SPREAD = 4
 
 
 def train(docs: DataFrame) -> tuple[str, dict]:
@@ -294,7 +296,7 @@ def train(docs: DataFrame) -> tuple[str, dict]:
 
     sent = texts.mapInArrow(count_words, "owner long, keys binary")
     # one small row an owner
-    rows = _owned(sent, owners, put_words, "owner long, n long, total long").collect()
+    rows = _owned(sent, SPREAD * owners, put_words, "owner long, n long, total long").collect()
     sizes, totals = [0] * owners, [0] * owners
     for r in rows:
         sizes[r["owner"]], totals[r["owner"]] = r["n"], r["total"]
@@ -330,7 +332,7 @@ def train(docs: DataFrame) -> tuple[str, dict]:
         return [owner, sub]
 
     sent = texts.mapInArrow(count_pairs, "owner long, keys binary")
-    found = {(r["owner"], r["sub"]) for r in _owned(sent, sum(head["subs"]), put_pairs, "owner long, sub long").collect()}
+    found = {(r["owner"], r["sub"]) for r in _owned(sent, SPREAD * sum(head["subs"]), put_pairs, "owner long, sub long").collect()}
     for owner in range(owners):  # a shard without bigrams is an empty file
         for sub in range(head["subs"][owner]):
             if head["words"][owner] and (owner, sub) not in found:
