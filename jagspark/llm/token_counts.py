@@ -5,15 +5,15 @@ into vocabulary pieces, is computed once, from its ancestors' scores, and shared
 terminal node holds its token count. A text's count is the sum over its pre-tokens.
 
 The vocabulary is a file of byte strings with ranks (parameter `path`), which must hold all single bytes; it is not trained. The unigram
-probabilities of its pieces are estimated here: a first pass splits every pre-token of every row with Zipf's law as a guess (a piece of rank r
-costs ln(r + 2)) and counts the pieces; p = (count + 1) / (all + V). Costs are round(-10^6 * ln p), whole numbers, so that sums are
+probabilities of its pieces are estimated here: a first pass counts the pre-tokens of every row, splits each distinct one with Zipf's law as a
+guess (a piece of rank r costs ln(r + 2)) and counts the pieces; p = (count + 1) / (all + V). Costs are round(-10^6 * ln p), whole numbers, so that sums are
 exact; the split of least cost counts, of equal ones that with fewer tokens, then that with the shorter last piece.
 
 Defined results: a null or empty text has no tokens and counts nothing; repeated rows give repeated results and count each; very long texts
 and pre-tokens are read whole; an empty table gives an empty result; other columns are ignored, whatever their names.
 
-At scale: two maps over the rows; between them go piece counts, combined per task, at most one row a piece (V, about 50,000), which is
-also what the driver gets; the vocabulary and the costs (about 2 MB) are broadcast; a worker's trie and its terminal counts are started anew
+At scale: two maps over the rows; between them go the distinct pre-tokens with counts, combined per task before the shuffle, and piece counts, at
+most one row a piece (V, about 50,000), which is also what the driver gets; the vocabulary and the costs (about 2 MB) are broadcast; a worker's trie and its terminal counts are started anew
 beyond MAX_NODES nodes, which bounds its memory and changes no result.
 """
 
@@ -23,6 +23,7 @@ import base64
 import functools
 import math
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 
 MAX_NODES = 700_000
+#: Distinct pre-tokens that a task counts before it sends them on.
+MAX_WORDS = 200_000
 #: Longer pre-tokens get a trie of their own, for once.
 LONG = 2_000
 
@@ -141,32 +144,40 @@ def _trie(content: bytes, costs: bytes | None) -> CountTrie:
 
 
 def piece_counts(docs: DataFrame, content: Broadcast, pattern: str) -> DataFrame:
-    """(piece, n): how often each piece stands in the guessed splits of all rows."""
+    """(piece, n): how often each piece stands in the guessed splits of all rows. Pre-tokens are counted first, so that each distinct one is split
+    once, in sorted order, which shares most prefixes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, find = _trie(content.value, None), regex.compile(pattern).findall
-        total, times = np.zeros(len(trie.costs), np.int64), np.zeros(0, np.int64)
-        trie.clear()
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, seen = regex.compile(pattern).findall, Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                words = find(text or "")
-                if any(map(LONG.__lt__, map(len, words))):
-                    for w in (w for w in words if len(w) > LONG):
-                        total += trie.alone(w).counted(np.ones(1, np.int64))
-                    words = [w for w in words if len(w) <= LONG]
-                found = np.bincount(trie.places(words), minlength=len(times))
-                if len(found) > len(times):
-                    times = np.concatenate([times, np.zeros(len(found) - len(times) + 10_000, np.int64)])
-                times[: len(found)] += found
+                seen.update(find(text or ""))
+                if len(seen) >= MAX_WORDS:
+                    yield pa.record_batch([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+                    seen.clear()
+        yield pa.record_batch([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = _trie(content.value, None)
+        total, times = np.zeros(len(trie.costs), np.int64), []
+        trie.clear()
+        for batch in batches:
+            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if len(word) > LONG:
+                    total += trie.alone(word).counted(np.array([n]))
+                    continue
+                trie[word]
+                times.append(n)
                 if len(trie.cost) > MAX_NODES:
-                    total += trie.counted(times[: len(trie)])
+                    total += trie.counted(np.array(times))
                     trie.clear()
-                    times = np.zeros(0, np.int64)
-        total += trie.counted(times[: len(trie)])
+                    times = []
+        total += trie.counted(np.array(times, np.int64))
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["piece", "n"])
 
-    return docs.select("text").mapInArrow(run, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    distinct = docs.select("text").mapInArrow(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).sortWithinPartitions("word")
+    return distinct.mapInArrow(pieces, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
 def counts(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
