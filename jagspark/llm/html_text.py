@@ -14,21 +14,26 @@ HTML5 does; white space inside a block becomes one space; a null or odd url has
 their own; pages of a host with equal text count as one distinct page; very long pages are read whole; an empty table gives an empty result;
 extra columns are ignored, whatever their names.
 
-At scale: parsing is a map; streams are shuffled once; a host with more than HOST_TOKENS tokens is dealt to several arrays by a hash of the
-page's text, so no task holds more than a bounded part of a host; what repeats only across arrays is found by an exchange of window hashes, and
-what more than COMMON of all pages share does so in one of the arrays at least, whose few such windows are then counted on all pages. A host's
-rows meet its list of such windows by (host, salt).
+At scale: a first look counts each host's words without parsing. A host of at most HOST_TOKENS words has one array: its packed pages are shuffled
+once and come out as texts. A larger host's pages are dealt to several arrays by a digest of their text, so no task holds more than a bounded part
+of a host; they are shuffled once too, and all else is a map over the table, which knows a page by its digest. Arrays tell of the windows on more
+than TOLD of their pages; where these sums allow a window on more than COMMON of all, the host's pages are counted. Only pages without an article
+have their windows met with those of other arrays; on hosts that have such pages this exchange moves a hash for each window that such a page has
+open, wherever it stands, and may take more disk than the pages.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as htmllib
+import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -213,142 +218,335 @@ def windows(ids: np.ndarray, least: int = MIN_RUN) -> np.ndarray:
     return h
 
 
-_COVER = "host string, page long, part long, covered binary, open array<long>, places array<int>, seen array<long>, common array<long>"
-
-
-def _array(frame: pd.DataFrame) -> pd.DataFrame:
-    """The suffix array of one host's (or one part's) streams: the covered tokens of each page; of the host's only array the common windows; of one
-    of several the windows that are still open, those that several pages of it share (`seen`), and those that may be common."""
-    frame = frame.sort_values(["digest", "part", "page"], kind="stable").reset_index(drop=True)
-    first = ~frame["digest"].duplicated()
-    ids = [_token_ids(b) for b in frame["stream"][first]]
-    tokens = np.concatenate(ids)
-    covered, on = repeated(tokens, np.repeat(np.arange(len(ids)), [len(x) for x in ids]))
-    several = bool((frame["arrays"] > 1).any())
-    often = on > COMMON * len(ids) if several or len(ids) >= COMMON_PAGES else np.zeros(len(on), bool)
-    made, common, seen, at = [], set(), set(), 0
-    for x in ids:
-        own, mark, shared = covered[at : at + len(x)], often[at : at + len(x)], on[at : at + len(x)] > 1
-        at += len(x)
-        hashes = windows(x) if several or mark.any() else np.zeros(0, np.uint64)
-        common.update(hashes[np.flatnonzero(mark)].view(np.int64).tolist())
-        if several:
-            seen.update(hashes[np.flatnonzero(shared)].view(np.int64).tolist())
-        # a window all of whose tokens are covered adds nothing
-        places = np.flatnonzero(np.convolve(~own, np.ones(MIN_RUN, np.int64), "valid")) if several and len(x) >= MIN_RUN else np.zeros(0, np.int64)
-        made.append((np.packbits(own).tobytes(), hashes[places].view(np.int64).tolist(), places.astype(np.int32).tolist()))
-    covered_, open_, places_ = zip(*(made[i] for i in first.cumsum() - 1), strict=True)
-    n = len(frame)
-    return pd.DataFrame({"host": frame["host"], "page": frame["page"], "part": frame["part"], "covered": covered_, "open": open_, "places": places_, "seen": [sorted(seen), *[[]] * (n - 1)], "common": [sorted(common), *[[]] * (n - 1)]})
+def _bits(zone: int, own: np.ndarray, places: np.ndarray, covered: np.ndarray) -> np.ndarray:
+    """The tokens of a page that are no main text: in its zone's `own` tokens the common windows (at `places`), else what is covered."""
+    if zone == OTHER:
+        return covered
+    bits = np.zeros(len(own), bool)
+    for x in places.tolist():
+        if own[x : x + MIN_RUN].all():
+            bits[x : x + MIN_RUN] = True
+    return bits
 
 
-def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The listed windows that each page holds, once."""
+def _sizes(blocks: list[tuple[int, str]]) -> list[int]:
+    return [t.count(" ") + 1 for _, t in blocks]
+
+
+def _text(blocks: list[tuple[int, str]], zone: int, bits: np.ndarray | None) -> tuple[str, int]:
+    """(text of the zone's blocks without the tokens in `bits`, how many those are)."""
+    if bits is None or not bits.any():
+        return " ".join(t for z, t in blocks if z == zone), 0
+    kept, at, gone = [], 0, 0
+    for (z, block), size in zip(blocks, _sizes(blocks), strict=True):
+        own = bits[at : at + size]
+        at += size
+        if z == zone:
+            if own.any():
+                gone += int(own.sum())
+                block = " ".join(w for w, out in zip(block.split(" "), own, strict=True) if not out)
+            if block:
+                kept.append(block)
+    return " ".join(kept), gone
+
+
+def _zone(blocks: list[tuple[int, str]]) -> int:
+    return max([OTHER, *(z for z, _ in blocks)])
+
+
+def _own(blocks: list[tuple[int, str]], zone: int) -> np.ndarray:
+    return np.repeat([z == zone for z, _ in blocks], _sizes(blocks))
+
+
+# ---------------------------------------------------------------- pages on their way to an array
+
+#: Compression of a page's blocks.
+LEVEL = 3
+
+
+def pack(blocks: list[tuple[int, str]]) -> bytes:
+    """No block holds a line's end."""
+    return zstandard.ZstdCompressor(level=LEVEL).compress("\n".join(f"{z}{t}" for z, t in blocks).encode())
+
+
+def unpack(packed: bytes) -> list[tuple[int, str]]:
+    text = zstandard.ZstdDecompressor().decompress(packed).decode()
+    return [(int(b[0]), b[1:]) for b in text.split("\n")] if text else []
+
+
+def _digest(blocks: list[tuple[int, str]]) -> bytes:
+    return hashlib.blake2b("\n".join(t for _, t in blocks).encode(), digest_size=16).digest()
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[list]]]:
+    """(key, rows) of the neighbours that share their first `keys` columns, across batches."""
+    at, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:keys] != at:
+                if held:
+                    yield at, held
+                at, held = row[:keys], []
+            held.append(row[keys:])
+    if held:
+        yield at, held
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    types = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+    fields = [x.split() for x in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
+    return pa.record_batch([pa.array(c, types[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+#: Rows of a batch of results.
+OUT_ROWS = 500
+
+
+def _batches(rows: Iterator[tuple], schema: str) -> Iterator[pa.RecordBatch]:
+    rows = iter(rows)
+    while held := list(itertools.islice(rows, OUT_ROWS)):
+        yield _batch(held, schema)
+
+
+# ---------------------------------------------------------------- hosts of one array
+
+_DONE = "page_id long, url string, text string, n_chars long, n_boilerplate long"
+_SENT = "host string, page_id long, url string, packed binary"
+
+
+def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, found = [], []
-        for host, stream, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            own = np.intersect1d(windows(_token_ids(stream)).view(np.int64), np.array(wanted, np.int64))
-            hosts += [host] * len(own)
-            found += own.tolist()
-        yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], names=["host", "window"])
+        yield from _batches(((host, i, url, pack(parse(source))) for host, i, url, source in zip(*(c.to_pylist() for c in batch.columns), strict=True)), _SENT)
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of hosts that have one array."""
 
+    def rows():
+        for _, group in _groups(batches, 1):
+            pages = [(i, url, unpack(packed)) for i, url, packed in group]
+            number: dict[bytes, int] = {}
+            which = [number.setdefault(_digest(b), len(number)) if b else -1 for *_, b in pages]
+            marks = {}
+            # nothing can go on a host with few pages that all have an article
+            if len(number) >= COMMON_PAGES or len(number) > 1 and any(_zone(b) == OTHER for *_, b in pages):
+                one = dict(zip(reversed(which), (b for *_, b in reversed(pages)), strict=True))
+                ids = [_token_ids([t for _, t in one[k]]) for k in range(len(number))]
+                covered, on = repeated(np.concatenate(ids), np.repeat(np.arange(len(ids)), [len(x) for x in ids]))
+                often = on > COMMON * len(ids) if len(ids) >= COMMON_PAGES else np.zeros(len(on), bool)
+                cuts = np.cumsum([len(x) for x in ids])[:-1]
+                marks = dict(enumerate(zip(np.split(covered, cuts), np.split(often, cuts), strict=True)))
+            for (i, url, blocks), k in zip(pages, which, strict=True):
+                zone, bits = _zone(blocks), None
+                if k in marks:
+                    covered, often = marks[k]
+                    if covered.any() or often.any():
+                        bits = _bits(zone, _own(blocks, zone), np.flatnonzero(often), covered)
+                text, gone = _text(blocks, zone, bits)
+                yield i, url, text, len(text), gone
 
-_PARSED = "part long, page long, page_id long, url string, host string, zones array<int>, stream array<string>, n_tokens long"
+    yield from _batches(rows(), _DONE)
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    page = 0
+# ---------------------------------------------------------------- hosts of several arrays
+
+_DEALT = "host string, array int, digest binary, packed binary"
+_FOUND = "host string, pages long, listed array<long>, on array<int>, digest binary, covered binary, open array<long>, places array<int>"
+
+
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages to the arrays of their host, by a digest of their text."""
+
+    def rows(batch):
+        for host, arrays, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if blocks := parse(source):
+                digest = _digest(blocks)
+                yield host, int.from_bytes(digest[:8], "big") % arrays, digest, pack(blocks)
+
     for batch in batches:
-        part, ids, urls, pages = (c for c in batch.columns)
-        rows = []
-        for url, source in zip(urls.to_pylist(), pages.to_pylist(), strict=True):
+        yield from _batches(rows(batch), _DEALT)
+
+
+#: Windows on no more than this share of an array's pages are not told; what is told of the others bounds them all.
+TOLD = 0.5
+
+
+def _array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One of several arrays of a host: the number of its distinct pages and its windows on more than TOLD of them (`listed`, `on`), and for
+    each distinct page without an article or main element the tokens that are covered in this array and the windows that are still open."""
+
+    def rows():
+        for (host, _), group in _groups(batches, 2):
+            one, other = {}, set()
+            for digest, packed in group:
+                blocks = unpack(packed)
+                one.setdefault(digest, [t for _, t in blocks])
+                if _zone(blocks) == OTHER:
+                    other.add(digest)
+            ids = [_token_ids(b) for b in one.values()]
+            covered, on = repeated(np.concatenate(ids), np.repeat(np.arange(len(ids)), [len(x) for x in ids]))
+            told, at = {}, 0
+            often = on > TOLD * len(ids)
+            for digest, x in zip(one, ids, strict=True):
+                mark, own, count = often[at : at + len(x)], covered[at : at + len(x)], on[at : at + len(x)]
+                at += len(x)
+                if not mark.any() and digest not in other:
+                    continue
+                hashes = windows(x).view(np.int64)
+                where = np.flatnonzero(mark)
+                told.update(zip(hashes[where].tolist(), count[where].tolist(), strict=True))
+                if digest in other:
+                    # a window all of whose tokens are covered adds nothing
+                    places = np.flatnonzero(np.convolve(~own, np.ones(MIN_RUN, np.int64), "valid")) if len(x) >= MIN_RUN else np.zeros(0, np.int64)
+                    yield host, None, None, None, digest, np.packbits(own).tobytes(), hashes[places].tolist(), places.tolist()
+            yield host, len(ids), list(told), list(told.values()), None, None, None, None
+
+    yield from _batches(rows(), _FOUND)
+
+
+def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The listed windows that each page holds; all its windows where none are listed."""
+
+    def rows(batch):
+        for host, source, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             blocks = parse(source)
-            rows.append((page, host_of(url), [z for z, _ in blocks], [t for _, t in blocks], sum(t.count(" ") + 1 for _, t in blocks)))
-            page += 1
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-        yield pa.record_batch(
-            [part, pa.array(columns[0], pa.int64()), ids, urls, pa.array(columns[1], pa.string()), pa.array(columns[2], pa.list_(pa.int32())), pa.array(columns[3], pa.list_(pa.string())), pa.array(columns[4], pa.int64())],
-            names=[x.split()[0] for x in _PARSED.split(", ")],
-        )
-
-
-def _salted(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-    """left joined with right, which has one small row a host, by (host, salt): a host with a third of all pages meets its row in many tasks."""
-    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.withColumn("salt", F.pmod(F.xxhash64("part", "page"), F.lit(SALTS)).cast("int")).join(right, ["host", "salt"], how).drop("salt")
-
-
-def _covers(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """part, page, covered (bits of the stream's tokens), more (places of further repeated windows); and host, common (its common windows)."""
-    streams = parsed.where("n_tokens > 0").select("part", "page", "host", "stream", "n_tokens", F.xxhash64("stream").alias("digest"))
-    hosts = streams.groupBy("host").agg(F.ceil(F.sum("n_tokens") / HOST_TOKENS).cast("int").alias("arrays"))
-    # one row a host and array; pages are dealt by a hash of their text
-    dealt = _salted(streams, hosts).withColumn("array", F.pmod("digest", F.col("arrays")).cast("int"))
-    made = dealt.select("host", "array", "arrays", "part", "page", "digest", "stream").groupBy("host", "array").applyInPandas(_array, _COVER)
-    found = stored(made, "html-covers")
-    several = hosts.where("arrays > 1").select("host")
-    none = F.array().cast("array<int>")
-    listed = found.where(F.size("common") > 0).select("host", "common")
-    if several.isEmpty():
-        return found.select("part", "page", "covered", none.alias("more")), listed
-    each = found.where(F.size("open") > 0).select("host", "part", "page", F.explode(F.arrays_zip("open", "places")).alias("w")).select("host", "part", "page", F.col("w.open").alias("window"), F.col("w.places").alias("place"))
-    who = F.struct("part", "page")
-    seen = found.where(F.size("seen") > 0).select("host", F.explode("seen").alias("window"), F.lit(True).alias("seen"), F.lit(None).cast("struct<part:long,page:long>").alias("who"))
-    shown = each.select("host", "window", F.lit(False).alias("seen"), who.alias("who")).unionAll(seen)
-    twice = shown.groupBy("host", "window").agg(F.min("who").alias("a"), F.max("who").alias("b"), F.bool_or("seen").alias("seen")).where("a <> b or (seen and a is not null)").select("host", "window")
-    more = each.join(twice, ["host", "window"], "left_semi").groupBy("part", "page").agg(F.collect_list("place").alias("more"))
-    more = found.join(more, ["part", "page"], "left").select("part", "page", "covered", F.coalesce("more", none).alias("more"))
-    # what may be common in one array is counted on all pages of the host; a page has few of these windows, a host not more
-    perhaps = listed.join(several, "host", "left_semi").groupBy("host").agg(F.array_distinct(F.flatten(F.collect_list("common"))).alias("wanted"))
-    pages = streams.join(several, "host", "left_semi").groupBy("host", "digest").agg(F.min(F.struct("part", "page", "stream")).alias("one")).select("host", "one.*")
-    number = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    counted = _salted(pages, perhaps).select("host", "stream", "wanted").mapInArrow(_hits, "host string, window long").groupBy("host", "window").agg(F.count("*").alias("n"))
-    common = counted.join(number, "host").where((F.col("n") > COMMON * F.col("pages")) & (F.col("pages") >= COMMON_PAGES)).groupBy("host").agg(F.collect_list("window").alias("common"))
-    return more, stored(listed.join(several, "host", "left_anti").unionAll(common), "html-common")
-
-
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = np.unique(windows(_token_ids([t for _, t in blocks])).view(np.int64))
+            own = own if wanted is None else np.intersect1d(own, np.array(wanted, np.int64))
+            if len(own):
+                yield host, _digest(blocks), own.tolist()
+
+    for batch in batches:
+        yield from _batches(rows(batch), "host string, digest binary, window array<long>")
+
+
+def _finish(others: bool, covers: bool):
+    """The texts of pages with an article or main element; with `others` of all pages. With `covers` the input is packed pages and their covers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(batch):
+            if covers:
+                for i, url, packed, covered, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    blocks = unpack(packed)
+                    bits = np.zeros(sum(_sizes(blocks)), bool)
+                    if covered is not None:
+                        bits = np.unpackbits(np.frombuffer(covered, np.uint8), count=len(bits)).astype(bool)
+                    for place in more or []:
+                        bits[place : place + MIN_RUN] = True
+                    text, gone = _text(blocks, OTHER, bits)
+                    yield i, url, text, len(text), gone
+                return
+            for i, url, source, common in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                blocks = parse(source)
+                zone, bits = _zone(blocks), None
+                if zone == OTHER and not others:
+                    continue
+                if zone > OTHER and common:
+                    found = np.isin(windows(_token_ids([t for _, t in blocks])).view(np.int64), np.array(common, np.int64))
+                    if found.any():
+                        bits = _bits(zone, _own(blocks, zone), np.flatnonzero(found), found)
+                text, gone = _text(blocks, zone, bits)
+                yield i, url, text, len(text), gone
+
+        for batch in batches:
+            yield from _batches(rows(batch), _DONE)
+
+    return run
+
+
+_OTHERS = "page_id long, url string, host string, digest binary, packed binary"
+
+
+def _others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pages without an article or main element."""
+
+    def rows(batch):
+        for i, url, host, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            blocks = parse(source)
+            if _zone(blocks) == OTHER:
+                yield i, url, host, _digest(blocks), pack(blocks)
+
+    for batch in batches:
+        yield from _batches(rows(batch), _OTHERS)
+
+
+#: Up to so many windows, the lists of all hosts are broadcast.
+LISTED = 500_000
+
+
+def _with_lists(rows: DataFrame, lists: DataFrame, name: str, how: str) -> DataFrame:
+    """rows with the list `name` of their host. Many lists meet the rows by (host, salt): a host with a third of all pages meets its own in many tasks."""
+    if (lists.agg(F.sum(F.size(name))).first()[0] or 0) <= LISTED:
+        return rows.join(F.broadcast(lists), "host", how)
+    lists = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(SALTS)).cast("int")).join(lists, ["host", "salt"], how).drop("salt")
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """The texts of hosts that have several arrays. Pages go to an array once; all else is a map over the table, which knows a page by its digest."""
+    dealt = rows.select("host", "arrays", "html").mapInArrow(_deal, _DEALT)
+    found = stored(dealt.repartition("host", "array").sortWithinPartitions("host", "array").mapInArrow(_array, _FOUND), "html-found")
+    arrays = found.where("pages is not null")
+    pages = arrays.groupBy("host").agg(F.sum("pages").alias("pages"))
+    # a window is on no more than TOLD of the pages of an array that does not tell of it
+    told = arrays.select("host", F.col("pages").alias("of"), F.explode(F.arrays_zip("listed", "on")).alias("w")).groupBy("host", F.col("w.listed").alias("window")).agg(F.sum("w.on").alias("n"), F.sum("of").alias("of"))
+    perhaps = told.join(pages, "host").where((F.col("pages") >= COMMON_PAGES) & (F.col("n") + TOLD * (F.col("pages") - F.col("of")) > COMMON * F.col("pages")))
+    perhaps = stored(perhaps.groupBy("host").agg(F.collect_list("window").alias("wanted")), "html-perhaps")
+    if perhaps.isEmpty():
+        common = perhaps.select("host", F.col("wanted").alias("common"))
+    else:
+        hits = _with_lists(rows, perhaps, "wanted", "inner").select("host", "html", "wanted").mapInArrow(_hits, "host string, digest binary, window array<long>")
+        counted = hits.dropDuplicates(["host", "digest"]).select("host", F.explode("window").alias("window")).groupBy("host", "window").agg(F.count("*").alias("n"))
+        counted = counted.join(pages, "host").where(F.col("n") > COMMON * F.col("pages"))
+        common = stored(counted.groupBy("host").agg(F.collect_list("window").alias("common")), "html-common")
+    covers = found.where("digest is not null").select("host", "digest", "covered", "open", "places")
+    none = covers.isEmpty()
+    done = _with_lists(rows, common, "common", "left").select("page_id", "url", "html", "common").mapInArrow(_finish(none, False), _DONE)
+    if none:
+        return done
+    # what a page without an article shares with pages of other arrays
+    open_ = covers.where(F.size("open") > 0).select("host", "digest", F.explode(F.arrays_zip("open", "places")).alias("w")).select("host", "digest", F.col("w.open").alias("window"), F.col("w.places").alias("place"))
+    held = rows.join(F.broadcast(covers.select("host").distinct()), "host", "left_semi").select("host", "html", F.lit(None).cast("array<long>").alias("wanted")).mapInArrow(_hits, "host string, digest binary, window array<long>")
+    held = held.select("host", "digest", F.explode("window").alias("window")).join(open_.select("host", "window").distinct(), ["host", "window"], "left_semi")
+    twice = held.groupBy("host", "window").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("host", "window")
+    more = open_.join(twice, ["host", "window"], "left_semi").groupBy("host", "digest").agg(F.collect_list("place").alias("more"))
+    marks = stored(covers.select("host", "digest", "covered").join(more, ["host", "digest"], "left"), "html-marks")
+    others = rows.select("page_id", "url", "host", "html").mapInArrow(_others, _OTHERS).join(marks, ["host", "digest"], "left")
+    return done.unionAll(others.select("page_id", "url", "packed", "covered", "more").mapInArrow(_finish(True, True), _DONE))
+
+
+#: No two words of a page without one of these between them, but for rare white space.
+_BETWEEN = (" ", "\n", "\t", "\r", "\f", "\u00a0", "\u3000", "<", "&")
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """An upper bound of the tokens of each host's pages, without parsing."""
     for batch in batches:
-        rows = []
-        for zones, stream, n, covered, more, common in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
-            zone = max([OTHER, *zones])
-            bits = np.zeros(n, bool)
-            if zone > OTHER and common:
-                own = np.repeat(np.array(zones) == zone, [t.count(" ") + 1 for t in stream])
-                found = np.isin(windows(_token_ids(stream)).view(np.int64), np.array(common, np.int64))
-                more = [x for x in np.flatnonzero(found).tolist() if own[x : x + MIN_RUN].all()]
-            elif zone == OTHER and covered is not None:
-                bits = np.unpackbits(np.frombuffer(covered, np.uint8), count=n).astype(bool)
-            else:
-                more = []
-            for place in more:
-                bits[place : place + MIN_RUN] = True
-            kept, at, gone = [], 0, 0
-            for z, block in zip(zones, stream, strict=True):
-                size = block.count(" ") + 1
-                own = bits[at : at + size]
-                at += size
-                if z == zone:
-                    if own.any():
-                        gone += int(own.sum())
-                        block = " ".join(w for w, out in zip(block.split(" "), own, strict=True) if not out)
-                    if block:
-                        kept.append(block)
-            text = " ".join(kept)
-            rows.append((text, len(text), gone))
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 3
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["page_id", "url", "text", "n_chars", "n_boilerplate"])
+        n = np.ones(len(batch), np.int64)
+        for x in _BETWEEN:
+            n += pc.fill_null(pc.count_substring(batch.column(1), x), 0).to_numpy(zero_copy_only=False)
+        total: dict[str, int] = {}
+        for host, k in zip(batch.column(0).to_pylist(), n.tolist(), strict=True):
+            total[host] = total.get(host, 0) + k
+        yield _batch(list(total.items()), "host string, n long")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, n_boilerplate (tokens that the suffix array took from the text) of every row."""
     small_batches(pages.sparkSession)
-    rows = pages.select(F.spark_partition_id().cast("long").alias("part"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    parsed = stored(rows.mapInArrow(_parse, _PARSED), "html-parsed")
-    covers, common = _covers(parsed)
-    joined = _salted(parsed.join(covers, ["part", "page"], "left"), common, "left")
-    columns = joined.select("page_id", "url", "zones", "stream", "n_tokens", "covered", F.coalesce("more", F.array().cast("array<int>")).alias("more"), "common")
-    return columns.mapInArrow(_finish, "page_id long, url string, text string, n_chars long, n_boilerplate long")
+    host = F.pandas_udf(lambda urls: urls.map(host_of), "string")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host("url").alias("host"))
+    counted = rows.select("host", "html").mapInArrow(_words, "host string, n long").groupBy("host").agg(F.ceil(F.sum("n") / HOST_TOKENS).cast("int").alias("arrays"))
+    # one small row for HOST_TOKENS tokens of the table at most
+    several = stored(counted.where("arrays > 1"), "html-hosts")
+    if several.isEmpty():
+        return _alone(rows)
+    return _alone(rows.join(F.broadcast(several), "host", "left_anti")).unionAll(_several(rows.join(F.broadcast(several), "host")))
+
+
+def _alone(rows: DataFrame) -> DataFrame:
+    sent = rows.select("host", "page_id", "url", "html").mapInArrow(_send, _SENT)
+    return sent.repartition("host").sortWithinPartitions("host").mapInArrow(_whole, _DONE)
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

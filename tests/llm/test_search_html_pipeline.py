@@ -2,12 +2,14 @@
 
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from jagspark.llm import html_text as H
 from jagspark.llm import topk as T
+from jagspark.llm.common import shared_dir
 
 
 @pytest.mark.parametrize("kind", ["dense", "ties", "negative", "odd"])
@@ -110,6 +112,55 @@ def test_boilerplate_inside_articles_goes_by_the_array_alone(spark, tokens_per_a
     assert all(r.n_chars == len(r.text) for r in got.values()) and got[1].n_boilerplate == 14 and got[0].n_boilerplate == 0
 
 
+@pytest.mark.parametrize("listed", [500_000, 0])
+def test_a_host_of_many_arrays_equals_brute_force_and_stores_no_windows_of_articles(spark, listed):
+    rng = np.random.default_rng(7)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    passages, notice = [word(12) for _ in range(6)], word(10)
+    rows, plain = [], {}
+    for i in range(90):
+        blocks = [word(40), passages[i % 6], word(30)] if i % 3 else [word(70)]
+        # of the plain pages one in two ends with what every page has
+        if i % 9 == 0:
+            plain[i] = [*blocks, notice] if i % 2 else blocks
+            rows.append((i, "http://a.example/x", "".join(f"<div>{' '.join(b)}</div>" for b in plain[i])))
+        else:
+            rows.append((i, "http://a.example/x", "<article>" + "".join(f"<p>{' '.join(b)}</p>" for b in [*blocks, notice]) + "</article>"))
+    rows += [(1000 + i, "http://a.example/x", rows[-1][2]) for i in range(3)]  # copies are one page
+    rows.append((2000, "http://b.example/x", rows[0][2]))
+    streams = {(i, u): tuple(w for _, b in H.parse(h) for w in b.split(" ")) for i, u, h in rows}
+    held = {}
+    for stream in {s for (_, u), s in streams.items() if "a.example" in u}:
+        for k in range(len(stream) - 7):
+            held.setdefault(stream[k : k + 8], set()).add(stream)
+    distinct = len({s for (_, u), s in streams.items() if "a.example" in u})
+    want = {}
+    for (i, u), stream in streams.items():
+        out = [False] * len(stream)
+        for k in range(len(stream) - 7):
+            n = len(held.get(stream[k : k + 8], ())) if "a.example" in u else 0
+            if n > 1 if i in plain else n > 0.8 * distinct:
+                out[k : k + 8] = [True] * 8
+        want[i] = " ".join(w for w, x in zip(stream, out, strict=True) if not x)
+    assert want[1] == " ".join(streams[1, rows[1][1]][:-10]) and len(want[9].split()) == 70
+    old = H.HOST_TOKENS, getattr(H, "LISTED", 0)
+    stored = lambda: sum(p.stat().st_size for p in Path(shared_dir(spark).removeprefix("file:")).rglob("*.parquet"))
+    H.HOST_TOKENS, H.LISTED = 1000, listed
+    try:
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+        got = {r.page_id: r.text for r in H.extract(df).collect()}
+        # pages with an article only, with nothing in common: what is stored is in proportion to the hosts, not to the pages
+        rows = [(i, "http://c.example/x", f"<article>{' '.join(word(200))}</article>") for i in range(60)]
+        kept = stored()
+        texts = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
+        kept = stored() - kept
+    finally:
+        H.HOST_TOKENS, H.LISTED = old
+    assert got == want
+    assert texts == {i: h[9:-10] for i, _, h in rows}
+    assert kept < sum(len(h) for *_, h in rows) / 2
+
+
 def test_a_very_long_page(spark):
     text = " ".join(f"w{i % 5000}" for i in range(300_000))
     df = spark.createDataFrame([(1, "http://a.example/", f"<article><p>{text}</p></article>"), (1, "http://a.example/", "<article>x</article>")], "page_id long, url string, html string")
