@@ -10,6 +10,23 @@ import uuid
 import numpy as np
 
 
+_U = np.uint64
+_ONES, _TOPS = _U(0x0101010101010101), _U(0x8080808080808080)
+#: The place of the r-th one of a byte b at 8 b + r.
+_IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[r] for b in range(256) for r in range(8)], np.uint8)
+
+
+def select(bits: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The place of the one that has `left` ones below it in each word (uint64)."""
+    left = left.astype(_U)
+    s = bits - (bits >> _U(1) & _U(0x5555555555555555))
+    s = (s & _U(0x3333333333333333)) + (s >> _U(2) & _U(0x3333333333333333))
+    s = (s + (s >> _U(4)) & _U(0x0F0F0F0F0F0F0F0F)) * _ONES  # ones up to each byte
+    place = (((left * _ONES | _TOPS) - s & _TOPS) >> _U(7)) * _ONES >> _U(56) << _U(3)
+    left -= (s << _U(8)) >> place & _U(255)
+    return place + _IN_BYTE[((bits >> place & _U(255)) << _U(3)) + left]
+
+
 class EliasFano:
     """A non-decreasing sequence of whole numbers in about 2 + log2(universe / n) bits each, with access by place."""
 
@@ -43,30 +60,43 @@ class EliasFano:
         i = np.asarray(i, np.int64)
         word = np.searchsorted(self.ones, i.astype(self.ones.dtype), "right") - 1
         bits = self.high[word]
-        left = (i - self.ones[word]).astype(np.int64)  # ones to skip in the word
-        at = np.zeros(len(i), np.int64)
-        for half in (32, 16, 8, 4, 2, 1):
-            count = np.bitwise_count(bits & np.uint64((1 << half) - 1)).astype(np.int64)
-            over = left >= count
-            left -= np.where(over, count, 0)
-            at += np.where(over, half, 0)
-            bits = np.where(over, bits >> np.uint64(half), bits)
+        at = select(bits, i - self.ones[word]).astype(np.int64)
         value = (word * 64 + at - i).astype(np.uint64) << np.uint64(self.width)
-        if self.width:
-            place = i * self.width
-            word, shift = place >> 6, (place & 63).astype(np.uint64)
-            part = self.low[word] >> shift
-            part |= np.where(shift > 0, self.low[word + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
-            value |= part & np.uint64((1 << self.width) - 1)
-        return value
+        return value | self._low(i) if self.width else value
+
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        """The low bits of the values at the places i."""
+        place = i * self.width
+        word, shift = place >> 6, (place & 63).astype(np.uint64)
+        part = self.low[word] >> shift
+        part |= np.where(shift > 0, self.low[word + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
+        return part & np.uint64((1 << self.width) - 1)
+
+    def _ends(self, high: np.ndarray, zeros: np.ndarray) -> np.ndarray:
+        """How many values have high bits of `high` or less. `zeros`: zeros below each word of `high` bits."""
+        out = np.full(len(high), self.n, np.int64)
+        own = np.flatnonzero(high < 64 * len(self.high) - self.n)  # each high part ends with a zero
+        k = high[own]
+        word = np.searchsorted(zeros, k, "right") - 1
+        out[own] = word * 64 + select(~self.high[word], k - zeros[word]).astype(np.int64) - k
+        return out
 
     def search(self, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """The first place in [low, high) whose value is `wanted` or more, else high; each has a range of its own."""
-        low, high = low.copy(), high.copy()
-        active = np.flatnonzero(low < high)
+        """The first place in [low, high) whose value is `wanted` or more, else high; each has a range of its own. The zeros give the places that
+        share the high bits, and only low bits are compared."""
+        if not self.n or not len(wanted):
+            return low.copy()
+        part = np.minimum(wanted >> np.uint64(self.width), np.uint64(1 << 62)).astype(np.int64)
+        zeros = 64 * np.arange(len(self.high)) - self.ones
+        new = np.ones(len(part), bool)
+        new[1:] = part[1:] != part[:-1]
+        each, at = part[new], np.cumsum(new) - 1
+        low, high = np.clip(self._ends(np.maximum(each, 1) - 1, zeros)[at] * (part > 0), low, high), np.clip(self._ends(each, zeros)[at], low, high)
+        rest = wanted & np.uint64((1 << self.width) - 1)
+        active = np.flatnonzero(low < high) if self.width else np.zeros(0, np.int64)
         while len(active):
             middle = (low[active] + high[active]) >> 1
-            less = self.access(middle) < wanted[active]
+            less = self._low(middle) < rest[active]
             low[active[less]] = middle[less] + 1
             high[active[~less]] = middle[~less]
             active = active[low[active] < high[active]]

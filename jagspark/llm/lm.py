@@ -7,7 +7,8 @@ vocabulary and the unknown word. All counts cover every training row.
 Level 1 holds the words, numbered in the order of 128-bit keys (BLAKE2b), with their cumulative counts; level 2 holds, for each word as
 context, its successors: a monotone pointer per context into one non-decreasing sequence of successors, and 16-bit codes of the
 smoothed probabilities (steps of 0.0002). Keys' first halves, pointers, successors and cumulative counts are Elias-Fano sequences in files
-that workers memory-map; a successor is looked up by a search within its context's range.
+that workers memory-map; a successor is looked up by a search within its context's range,
+among the few that share its high bits.
 
 Defined results: a null or empty text is the end alone; a null doc_id is not held out; without any training row N = V = 0 and every token has
 probability 1; repeated rows count and are scored each; a very long text, or word, is read whole; an empty table gives an empty result; other
@@ -253,7 +254,10 @@ class Trie:
             first, size = self.span(o, s)
             pointers, successors = EliasFano.of(level, "pointers"), EliasFano.of(level, "successors")
             local = context[own] - self.first[o]
-            low, high = pointers.access(local).astype(np.int64), pointers.access(local + 1).astype(np.int64)
+            new = np.ones(len(local), bool)
+            new[1:] = local[1:] != local[:-1]
+            each, at = local[new], np.cumsum(new) - 1  # neighbours share their context
+            low, high = pointers.access(each).astype(np.int64)[at], pointers.access(each + 1).astype(np.int64)[at]
             wanted = (local * size + word[own] - first).astype(np.uint64)
             end, low = high, successors.search(low, high, wanted)
             inside = np.flatnonzero(low < end)

@@ -197,6 +197,32 @@ def test_elias_fano(values):
     assert (elias_fano.EliasFano.build(values).access(np.arange(len(values))) == values).all()
 
 
+@pytest.mark.parametrize("kind", ["wide", "dense", "runs", "few", "equal", "extremes"])
+def test_elias_fano_search_reads_few_values(kind, monkeypatch):
+    rng = np.random.default_rng(3)
+    values = {
+        "wide": rng.integers(0, 1 << 63, 50_000),
+        "dense": rng.integers(0, 60_000, 50_000),
+        "runs": np.concatenate([np.arange(40_000), rng.integers(1 << 20, 1 << 40, 10_000)]),
+        "few": np.array([7, 7, 9]),
+        "equal": np.full(1000, 5),
+        "extremes": np.array([0, 0, 1, (1 << 64) - 2, (1 << 64) - 1], np.uint64),
+    }[kind].astype(np.uint64)
+    values.sort()
+    sequence, n = elias_fano.EliasFano.build(values), len(values)
+    near = values[rng.integers(0, n, 3000)]
+    wanted = np.concatenate([near, near + np.uint64(1), near - np.uint64(1), rng.integers(0, 1 << 63, 500).astype(np.uint64), np.array([0, (1 << 64) - 1], np.uint64)])
+    wanted.sort()
+    seen, access = [], elias_fano.EliasFano.access
+    monkeypatch.setattr(elias_fano.EliasFano, "access", lambda self, i: seen.append(len(i)) or access(self, i))
+    low = rng.integers(0, n + 1, len(wanted))
+    high = low + rng.integers(0, n + 1 - low)
+    for a, b in ((low, high), (np.zeros_like(low), np.full_like(low, n))):
+        assert (sequence.search(a, b, wanted) == np.clip(np.searchsorted(values, wanted), a, b)).all()
+    if n > 1000:  # a search by halves alone reads about 16 values
+        assert sum(seen) <= 4 * 2 * len(wanted)
+
+
 def test_lm_matches_brute_force(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice("the The of a cat dog sat on mat zebra".split() + [f"w{rng.randrange(60)}"]) for _ in range(rng.randrange(40))), "s") for i in range(150)]
