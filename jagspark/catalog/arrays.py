@@ -307,7 +307,7 @@ def _join_grouped(spark, sf_dir):
 
 @_add("pack_key", "SELECT l_orderkey, l_linenumber, (l_orderkey << 40) | (l_linenumber::BIGINT << 20) | l_suppkey AS key FROM lineitem")
 def _pack(spark, sf_dir):
-    return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", J.pack_key(F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_suppkey")).alias("key"))
+    return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", J.pack_key(F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_suppkey"), lead_bits=24).alias("key"))
 
 
 @_add("route_sha256", "SELECT o_orderkey, (('0x' || substr(sha256(unhex(lpad(hex(o_orderkey), 16, '0'))), 1, 16))::UBIGINT % 16)::INTEGER AS part FROM orders")

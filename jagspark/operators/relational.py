@@ -47,14 +47,20 @@ def grouped_join(left: DataFrame, right: DataFrame, on: str | list[str], ordinal
 PACK_BITS, PACK_FIELDS = 20, 3
 
 
-def pack_key(*fields: Column) -> Column:
-    """Up to three whole numbers below 2^20 as one long, the first most significant; others raise."""
+def pack_key(*fields: Column, lead_bits: int = PACK_BITS) -> Column:
+    """Up to three whole numbers below 2^20 as one long, the first most significant; others raise.
+
+    lead_bits lets the first take more, up to what the others leave of 64. Keys stay distinct; with the 64th bit set, as from
+    2^23 on beside two fields, the long is negative: the same bits as the unsigned key.
+    """
     if not 1 <= len(fields) <= PACK_FIELDS:
         raise ValueError(f"1 to {PACK_FIELDS} fields are packed")
+    if not 1 <= lead_bits <= min(62, 64 - PACK_BITS * (len(fields) - 1)):
+        raise ValueError(f"{lead_bits} bits of the first field and {PACK_BITS} of each other do not fit")
     packed = None
     for f in fields:
-        f = f.cast("long")
-        part = F.when((f >= 0) & (f < (1 << PACK_BITS)), f).when(f.isNotNull(), F.raise_error(F.lit("a key field is not in [0, 2^20)")).cast("long"))
+        f, bits = f.cast("long"), lead_bits if packed is None else PACK_BITS
+        part = F.when((f >= 0) & (f < (1 << bits)), f).when(f.isNotNull(), F.raise_error(F.lit(f"a key field is not in [0, 2^{bits})")).cast("long"))
         packed = part if packed is None else F.shiftleft(packed, PACK_BITS).bitwiseOR(part)
     return packed
 
