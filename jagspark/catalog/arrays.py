@@ -286,7 +286,7 @@ _SIDES = """WITH l AS (SELECT CASE WHEN o_custkey % 7 <> 0 THEN o_custkey END AS
 r AS (SELECT CASE WHEN c_custkey % 100 = 7 THEN NULL WHEN c_custkey % 3 = 0 THEN c_custkey + 5 ELSE c_custkey + 10000000 END AS k, c_custkey AS rv FROM customer)"""
 for _how, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("outer", "FULL JOIN")):
     _add(f"join_{_how}", f"{_SIDES} SELECT k, count(lv) AS n, coalesce(sum(lv), -1)::BIGINT AS lv, coalesce(sum(rv), -1)::BIGINT AS rv, count(*) AS rows FROM (SELECT coalesce(l.k, r.k, -1) AS k, lv, rv FROM l {_sql} r ON coalesce(l.k, -1) = coalesce(r.k, -1)) GROUP BY k")(
-        lambda spark, sf_dir, h=_how: J.join(*_sides(spark, sf_dir), "k", h).groupBy(F.coalesce("k", F.lit(-1)).alias("k")).agg(F.count("lv").alias("n"), F.coalesce(F.sum("lv"), F.lit(-1)).alias("lv"), F.coalesce(F.sum("rv"), F.lit(-1)).alias("rv"), F.count("*").alias("rows"))
+        lambda spark, sf_dir, h=_how: J.join_sums(*_sides(spark, sf_dir), "k", h).select(F.coalesce("k", F.lit(-1)).alias("k"), F.col("n_lv").alias("n"), F.coalesce("sum_lv", F.lit(-1)).alias("lv"), F.coalesce("sum_rv", F.lit(-1)).alias("rv"), "rows")
     )
 
 

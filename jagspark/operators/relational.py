@@ -31,6 +31,26 @@ def join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inn
     return joined.select(*[F.coalesce(left[k], F.col(f"_r_{k}")).alias(k) for k in on], *[left[c] for c in left.columns if c not in on], *[c for c in right.columns if c not in on])
 
 
+def join_sums(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """What grouping join's rows by key gives: the keys, `rows`, and for each other column c `n_c` (values present) and `sum_c`.
+
+    Each side is summed by key first and its sums multiplied by the other's rows of that key, so that no pair of rows is made: a key
+    with m rows left and n right (missing keys among them) costs m + n, not m * n. Sums beyond a long raise.
+    """
+    on = [on] if isinstance(on, str) else list(on)
+
+    def summed(df: DataFrame, rows: str) -> DataFrame:
+        rest = [c for c in df.columns if c not in on]
+        return df.groupBy(*on).agg(F.count("*").alias(rows), *[F.count(c).alias(f"n_{c}") for c in rest], *[F.sum(c).alias(f"sum_{c}") for c in rest])
+
+    joined = join(summed(left, "_l"), summed(right, "_r"), on, how)
+    times = {**{c: "_r" for c in left.columns}, **{c: "_l" for c in right.columns}}
+    partners = {side: F.coalesce(side, F.lit(1).cast("long")) for side in ("_l", "_r")}
+    sums = [(F.coalesce(f"n_{c}", F.lit(0).cast("long")) * partners[times[c]]).alias(f"n_{c}") for c in times if c not in on]
+    sums += [(F.col(f"sum_{c}") * partners[times[c]]).alias(f"sum_{c}") for c in times if c not in on]
+    return joined.select(*on, (partners["_l"] * partners["_r"]).alias("rows"), *sums)
+
+
 def grouped_join(left: DataFrame, right: DataFrame, on: str | list[str], ordinal: str, name: str = "items", how: str = "left") -> DataFrame:
     """Each left row with the list of its partners' other columns, sorted; rows without partners have an empty list (how = left) or go (inner).
 
