@@ -130,7 +130,9 @@ def _query(name: str):
         else:
             a, b = _OPERANDS.get(name, ("x", "y"))
             r = binary(name, F.col(a), F.col(b))
-        return df.select(*KEYS, *shown(r.cast("double") * F.lit(_SCALE[name]) if name in _SCALE else r.cast("double")))
+        # the result is a column of its own, so that showing it, which names it several times, does not make it as often
+        once = df.select(*KEYS, (r.cast("double") * F.lit(_SCALE[name]) if name in _SCALE else r.cast("double")).alias("r"))
+        return once.select(*KEYS, *shown(F.col("r")))
 
     return run
 

@@ -196,17 +196,18 @@ def heaviside(a, b) -> Column:
 
 
 def gcd(a, b) -> Column:
-    """Euclid's steps; a pair of 64-bit numbers needs 93 at most, an exhausted pair stays as it is."""
+    """Euclid's steps to the nearest multiple: each halves the smaller number at least, so its bits bound them; an exhausted pair stays as it is."""
     a, b = F.abs(_c(a).cast("long")), F.abs(_c(b).cast("long"))
-    pair = F.struct(a.alias("a"), b.alias("b"))
-    step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.try_mod(s["a"], F.nullif(s["b"], F.lit(0).cast("long"))).alias("b")))
-    return _nulls(F.aggregate(F.sequence(F.lit(1), F.lit(93)), pair, step, lambda s: s["a"]), a, b)
+    pair = F.struct(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
+    steps = F.coalesce(F.floor(F.log2(F.least(a, b))), F.lit(0).cast("long")) + 2
+    rest = lambda s: F.try_mod(s["a"], s["b"])
+    step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.least(rest(s), s["b"] - rest(s)).alias("b")))
+    return _nulls(F.aggregate(F.sequence(F.lit(1).cast("long"), steps), pair, step, lambda s: s["a"]), a, b)
 
 
 def lcm(a, b) -> Column:
     a, b = _c(a).cast("long"), _c(b).cast("long")
-    divisor = gcd(a, b)
-    return F.when(divisor == 0, F.lit(0).cast("long")).otherwise(F.abs(a * F.floor(F.try_divide(b, F.nullif(divisor, F.lit(0).cast("long")))).cast("long")))
+    return _let(gcd(a, b), lambda divisor: F.when(divisor == 0, F.lit(0).cast("long")).otherwise(F.abs(a * F.call_function("div", b, divisor))))
 
 
 def _compare(test: Callable[[Column, Column], Column], unequal: bool = False) -> Callable[..., Column]:

@@ -48,3 +48,17 @@ def test_joins_are_summed_before_they_pair(spark, tables, how):
     # in the query both sides are summed below the join, so that many missing keys on both sides make no pairs
     after = _plan(catalog.queries()[f"join_{how}"](spark, tables)).split("Join ", 1)[1]
     assert after.count("Aggregate ") == 2
+
+
+def test_gcd_and_lcm_of_large_numbers(spark):
+    fibonacci, pell = [1, 1], [1, 2]
+    while fibonacci[-1] < 2**61:
+        fibonacci.append(fibonacci[-1] + fibonacci[-2])
+    while pell[-1] < 2**61:
+        pell.append(2 * pell[-1] + pell[-2])
+    pairs = [*zip(fibonacci, fibonacci[1:]), *zip(pell, pell[1:]), (2**62, 2**61 + 1), (2**63 - 1, 2**62), (-(2**60), 3 * 2**40), (0, 0), (0, 2**60), (17, 17), (2**63 - 1, 2**63 - 1)]
+    rows = spark.createDataFrame([*pairs, *[(b, a) for a, b in pairs]], "a long, b long").select("a", "b", binary("gcd", F.col("a"), F.col("b")).alias("g")).collect()
+    assert all(r["g"] == math.gcd(r["a"], r["b"]) for r in rows)
+    wide = [(1, 2**60 + 1), (2**60 + 1, 1), (3, 3 * (2**55 + 1)), (0, 2**60 + 1), (-2, 2**60 + 1)]
+    got = spark.createDataFrame(wide, "a long, b long").select("a", "b", binary("lcm", F.col("a"), F.col("b")).alias("m")).collect()
+    assert [r["m"] for r in got] == [math.lcm(a, b) for a, b in wide]
