@@ -143,7 +143,8 @@ def _round(r: Column) -> Column:
 
 
 def _scalar(make: Callable[[_Columns], Column]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: orders(spark, sf_dir).select("k", _round(make(_Columns())))
+    # the value is a column of its own, so that rounding it, which names it twice, does not make it twice
+    return lambda spark, sf_dir: orders(spark, sf_dir).select("k", make(_Columns()).alias("r")).select("k", _round(F.col("r")))
 
 
 def _list(make: Callable[[_Columns], Column]) -> Callable[[SparkSession, str], DataFrame]:

@@ -153,26 +153,27 @@ def _sums(x, y) -> Column:
 
 
 def covar(x, y) -> Column:
-    s = _sums(x, y)
-    return div(s["xy"], s["n"]) - div(s["x"], s["n"]) * div(s["y"], s["n"])
+    return _let(_sums(x, y), lambda s: div(s["xy"], s["n"]) - div(s["x"], s["n"]) * div(s["y"], s["n"]))
 
 
 def corr(x, y) -> Column:
-    s = _sums(x, y)
-    top = s["n"] * s["xy"] - s["x"] * s["y"]
-    return div(top, F.sqrt((s["n"] * s["xx"] - s["x"] * s["x"]) * (s["n"] * s["yy"] - s["y"] * s["y"])))
+    top = lambda s: s["n"] * s["xy"] - s["x"] * s["y"]
+    bottom = lambda s: F.sqrt((s["n"] * s["xx"] - s["x"] * s["x"]) * (s["n"] * s["yy"] - s["y"] * s["y"]))
+    return _let(_sums(x, y), lambda s: _let(bottom(s), lambda b: div(top(s), b)))
 
 
 def linear_fit(x, y) -> Column:
     """struct(intercept, slope, intercept_error, slope_error) of the least-squares line."""
-    s = _sums(x, y)
-    delta = s["n"] * s["xx"] - s["x"] * s["x"]
-    return F.struct(
-        div(s["xx"] * s["y"] - s["x"] * s["xy"], delta).alias("intercept"),
-        div(s["n"] * s["xy"] - s["x"] * s["y"], delta).alias("slope"),
-        F.sqrt(div(s["xx"], delta)).alias("intercept_error"),
-        F.sqrt(div(s["n"], delta)).alias("slope_error"),
-    )
+
+    def of(s: Column, delta: Column) -> Column:
+        return F.struct(
+            div(s["xx"] * s["y"] - s["x"] * s["xy"], delta).alias("intercept"),
+            div(s["n"] * s["xy"] - s["x"] * s["y"], delta).alias("slope"),
+            F.sqrt(div(s["xx"], delta)).alias("intercept_error"),
+            F.sqrt(div(s["n"], delta)).alias("slope_error"),
+        )
+
+    return _let(_sums(x, y), lambda s: _let(s["n"] * s["xx"] - s["x"] * s["x"], lambda delta: of(s, delta)))
 
 
 def _place(take: Callable[[Column], Column]) -> Callable[..., Column]:

@@ -62,3 +62,8 @@ def test_gcd_and_lcm_of_large_numbers(spark):
     wide = [(1, 2**60 + 1), (2**60 + 1, 1), (3, 3 * (2**55 + 1)), (0, 2**60 + 1), (-2, 2**60 + 1)]
     got = spark.createDataFrame(wide, "a long, b long").select("a", "b", binary("lcm", F.col("a"), F.col("b")).alias("m")).collect()
     assert [r["m"] for r in got] == [math.lcm(a, b) for a, b in wide]
+
+
+@pytest.mark.parametrize("name", ["ew_gcd", "ew_lcm", "rag_corr", "rag_covar", "rag_linear_fit", "rag_linear_fit_slope_error", "rag_linear_fit_intercept_error"])
+def test_folds_are_made_once(spark, tables, name):
+    assert _plan(catalog.queries()[name](spark, tables)).count("aggregate(") == 1
