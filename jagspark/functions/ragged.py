@@ -213,12 +213,13 @@ def _struct(values: Sequence[Column], fields: Sequence[str] | None) -> Column:
 
 
 def combinations(c, n: int = 2, replacement: bool = False, fields: Sequence[str] | None = None) -> Column:
-    """Structs of n elements, in the order of their places; each element once unless replacement."""
+    """Structs of n elements, in the order of their places; each element once unless replacement. Each rest is cut once, not once an element."""
 
     def pick(rest: Column, picked: list[Column]) -> Column:
         if len(picked) == n - 1:
             return F.transform(rest, lambda x: _struct([*picked, x], fields))
-        return F.flatten(F.transform(rest, lambda x, i: pick(F.slice(rest, i + (1 if replacement else 2), F.size(rest)), [*picked, x])))
+        later = lambda all, i: F.slice(all, i + (1 if replacement else 2), F.size(all))
+        return _let(rest, lambda all: F.flatten(F.transform(all, lambda x, i: pick(later(all, i), [*picked, x]))))
 
     return pick(_c(c), [])
 

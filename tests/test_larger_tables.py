@@ -67,3 +67,13 @@ def test_gcd_and_lcm_of_large_numbers(spark):
 @pytest.mark.parametrize("name", ["ew_gcd", "ew_lcm", "rag_corr", "rag_covar", "rag_linear_fit", "rag_linear_fit_slope_error", "rag_linear_fit_intercept_error"])
 def test_folds_are_made_once(spark, tables, name):
     assert _plan(catalog.queries()[name](spark, tables)).count("aggregate(") == 1
+
+
+@pytest.mark.parametrize("name", ["rag_combinations3_num", "rag_argcombinations"])
+def test_combinations_cut_each_rest_once(spark, tables, name):
+    assert _plan(catalog.queries()[name](spark, tables)).count("slice(") == 2
+
+
+def test_combinations_of_four(spark):
+    row = spark.createDataFrame([([1, 2, 3, 4, 5],)], "x array<int>").select(F.size(R.combinations(F.col("x"), 4)).alias("n"), F.size(R.combinations(F.col("x"), 3, replacement=True)).alias("m"), F.size(R.combinations(F.col("x"), 1)).alias("o")).first()
+    assert tuple(row) == (5, 35, 5)
