@@ -110,7 +110,8 @@ def from_parquet(spark: SparkSession, path: str | Sequence[str], columns: Sequen
             offsets.append((name[0], at))
             at += name[1]
     table = spark.createDataFrame(offsets, "_file string, _offset long")
-    return rows.join(table, "_file").withColumn(ordinal, F.col("_offset") + F.col("_row")).drop("_file", "_row", "_offset")
+    # one row a file: it is broadcast, since by a shuffle all rows of a file would meet in one task
+    return rows.join(F.broadcast(table), "_file").withColumn(ordinal, F.col("_offset") + F.col("_row")).drop("_file", "_row", "_offset")
 
 
 def _plain(uri: str) -> str:

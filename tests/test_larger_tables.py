@@ -77,3 +77,10 @@ def test_combinations_cut_each_rest_once(spark, tables, name):
 def test_combinations_of_four(spark):
     row = spark.createDataFrame([([1, 2, 3, 4, 5],)], "x array<int>").select(F.size(R.combinations(F.col("x"), 4)).alias("n"), F.size(R.combinations(F.col("x"), 3, replacement=True)).alias("m"), F.size(R.combinations(F.col("x"), 1)).alias("o")).first()
     assert tuple(row) == (5, 35, 5)
+
+
+def test_ordinals_without_a_shuffle_of_all_rows(spark, tables):
+    df = catalog.queries()["io_ordinal"](spark, tables)
+    plan = _plan(df, "executedPlan")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert all(r["event_id"] == r["ordinal"] for r in df.collect())
