@@ -37,12 +37,20 @@ def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _six(r: Column) -> Column:
+    """r to six decimals by the arithmetic of the SQL's round: halves of the binary product go away from zero. F.round takes r's decimal digits instead."""
+    size = F.abs(r * 1e6)
+    whole = F.floor(size).cast("double")
+    near = F.when(size >= 2.0**52, size).otherwise(F.when(size - whole >= 0.5, whole + 1).otherwise(whole)) / 1e6
+    return F.when(size == INF, r).when(r < 0, -near).otherwise(near)
+
+
 def shown(r: Column) -> tuple[Column, Column]:
     """(kind, value): 'nan', 'inf', '-inf' or 'null' beside NULL, or 'fin' and the value to six decimals without a signed zero.
 
     The shift keeps exact halves of the last decimal from depending on the last bit."""
     kind = F.when(r.isNull(), "null").when(F.isnan(r), "nan").when(r == INF, "inf").when(r == -INF, "-inf").otherwise("fin")
-    return kind.alias("kind"), F.when(kind == "fin", F.round(r + 3e-10, 6) + 0.0).alias("r")
+    return kind.alias("kind"), F.when(kind == "fin", _six(r + 3e-10) + 0.0).alias("r")
 
 
 SHOWN_SQL = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,

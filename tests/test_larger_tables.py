@@ -84,3 +84,14 @@ def test_ordinals_without_a_shuffle_of_all_rows(spark, tables):
     plan = _plan(df, "executedPlan")
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert all(r["event_id"] == r["ordinal"] for r in df.collect())
+
+
+def test_six_decimals_are_rounded_as_in_the_sql(spark):
+    import duckdb
+
+    from jagspark.catalog.elementwise import shown
+
+    values = [4.1275554997, -4.1071325003, 0.25354349969999995, 1.7976931348623157e308, -1e300, 2.5, -0.0, 0.0, 5e-324, 4503599627.3704961, 123456789012.3456789, -7.0000005]
+    got = spark.createDataFrame([(v,) for v in values], "r double").select("r", F.struct(*shown(F.col("r"))).alias("s")).collect()
+    want = [duckdb.execute("SELECT round(?::DOUBLE + 3e-10::DOUBLE, 6) + 0.0::DOUBLE", [r["r"]]).fetchall()[0][0] for r in got]
+    assert [repr(r["s"]["r"]) for r in got] == list(map(repr, want))
